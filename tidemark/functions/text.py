@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import rules
@@ -31,11 +31,7 @@ def latin_tokens(text: Column) -> Column:
 
 
 def content_tokens(text: Column, min_chars: int, stop: Sequence[str]) -> Column:
-    stop_words = words(stop)
-    return F.filter(
-        latin_tokens(text),
-        lambda t: (F.char_length(t) >= min_chars) & ~F.array_contains(stop_words, t),
-    )
+    return F.filter(latin_tokens(text), lambda t: (F.char_length(t) >= min_chars) & ~t.isin(*stop))
 
 
 def word_runs(text: Column) -> Column:
@@ -51,22 +47,20 @@ def scored_words(text: Column) -> Column:
 
 def keywords(text: Column, limit: int) -> Column:
     """First content words in order, currency and address punctuation kept."""
-    stop_words = words(rules.KEYWORD_STOP)
     clean = F.regexp_replace(F.lower(text), r"[^\w\s£$€@.:/\-]", " ")
     kept = F.filter(
         F.split(clean, r"\s+"),
-        lambda w: (F.char_length(w) > 2) & ~F.array_contains(stop_words, w),
+        lambda w: (F.char_length(w) > 2) & ~w.isin(*rules.KEYWORD_STOP),
     )
     return F.slice(kept, 1, limit)
 
 
 def preprocess(text: Column, stop: Sequence[str] = tuple(rules.EN_STOP)) -> Column:
     """Tokens of length two or more outside a stoplist (stemming is separate)."""
-    stop_words = words(stop)
     clean = F.regexp_replace(F.lower(text), r"[^\wÀ-ɏ\s]", " ")
     return F.filter(
         F.split(clean, r"\s+"),
-        lambda t: (F.char_length(t) > 1) & ~F.array_contains(stop_words, t),
+        lambda t: (F.char_length(t) > 1) & ~t.isin(*stop),
     )
 
 
@@ -95,22 +89,29 @@ def first_present(*texts: Column) -> Column:
     return F.coalesce(*[present(t) for t in texts])
 
 
-def term_counts(tokens: Column) -> Column:
-    """array<struct<term,tf>> of one token list, by sorting it and measuring run lengths.
+def counted_terms(df: DataFrame, tokens: Column, *carry: str) -> DataFrame:
+    """(carried columns, dl, term, tf) by sorting each token list and measuring run lengths.
 
-    Row-local, so postings need no shuffle and no per-document grouping.
+    Row-local, so postings need no shuffle and no per-document grouping.  The
+    sorted list and the run starts are columns of their own: a lambda would
+    recompute an inlined expression for every element.
     """
-    ordered = F.array_sort(tokens)
+    ordered = df.select(*carry, F.array_sort(tokens).alias("_s"))
     starts = F.filter(
-        F.sequence(F.lit(1), F.size(ordered)),
-        lambda i: (i == 1) | (F.get(ordered, i - 1) != F.get(ordered, i - 2)),
+        F.when(F.size("_s") > 0, F.sequence(F.lit(1), F.size("_s"))).otherwise(F.array().cast("array<int>")),
+        lambda i: (i == 1) | (F.get("_s", i - 1) != F.get("_s", i - 2)),
     )
+    runs = ordered.select(*carry, "_s", starts.alias("_at"))
     counted = F.transform(
-        starts,
+        "_at",
         lambda i, pos: F.struct(
-            F.get(ordered, i - 1).alias("term"),
-            (F.coalesce(F.get(starts, pos + 1), F.size(ordered) + 1) - i).cast("long").alias("tf"),
+            F.get("_s", i - 1).alias("term"),
+            (F.coalesce(F.get("_at", pos + 1), F.size("_s") + 1) - i).cast("long").alias("tf"),
         ),
     )
-    empty = F.array().cast("array<struct<term:string,tf:bigint>>")
-    return F.when(F.size(tokens) > 0, counted).otherwise(empty)
+    # the outer form keeps the optimiser from copying the list work into a filter
+    return (
+        runs.select(*carry, F.size("_s").alias("dl"), F.explode_outer(counted).alias("_t"))
+        .where("_t IS NOT NULL")
+        .select(*carry, "dl", F.col("_t.term").alias("term"), F.col("_t.tf").alias("tf"))
+    )

@@ -73,10 +73,9 @@ def daily_volume(rows: DataFrame, days: int = 14) -> DataFrame:
 
 def comment_keywords(comments: DataFrame, top: int = 12) -> DataFrame:
     """Most frequent words of comments longer than three characters."""
-    stop = F.array(*[F.lit(w) for w in rules.COMMENT_STOP])
     text = F.lower(F.trim("comment"))
     word = comments.where(F.char_length(text) > 3).select(F.explode(F.split(text, "[^a-zA-ZÀ-ÿŵŷ]+")).alias("word"))
-    kept = word.where((F.char_length("word") > 2) & ~F.array_contains(stop, F.col("word")))
+    kept = word.where((F.char_length("word") > 2) & ~F.col("word").isin(*rules.COMMENT_STOP))
     return kept.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(top)
 
 

@@ -25,12 +25,7 @@ def _sized(df: DataFrame, rows: int) -> DataFrame:
 # ------------------------------------------------------------------ sparse index
 def postings(docs: DataFrame, doc_id: str, tokens: Column, *carry: str) -> DataFrame:
     """(doc, carried columns, dl, term, tf); row-local, documents without tokens drop out."""
-    return (
-        docs.select(doc_id, *carry, tokens.alias("_tokens"))
-        .where(F.size("_tokens") > 0)
-        .select(doc_id, *carry, F.size("_tokens").alias("dl"), F.explode(tx.term_counts(F.col("_tokens"))).alias("_t"))
-        .select(doc_id, *carry, "dl", F.col("_t.term").alias("term"), F.col("_t.tf").alias("tf"))
-    )
+    return tx.counted_terms(docs, tokens, doc_id, *carry)
 
 
 def corpus_size(docs: DataFrame, tokens: Column) -> DataFrame:
@@ -45,10 +40,7 @@ def document_frequency(post: DataFrame) -> DataFrame:
 
 def query_terms(queries: DataFrame, query_id: str, tokens: Column) -> DataFrame:
     """(query, term, qtf): repeated query tokens count repeatedly."""
-    return (
-        queries.select(query_id, F.explode(tx.term_counts(tokens)).alias("_t"))
-        .select(query_id, F.col("_t.term").alias("term"), F.col("_t.tf").alias("qtf"))
-    )
+    return tx.counted_terms(queries, tokens, query_id).select(query_id, "term", F.col("tf").alias("qtf"))
 
 
 def okapi_idf(freq: DataFrame, n: Column) -> DataFrame:

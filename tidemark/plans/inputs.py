@@ -97,8 +97,18 @@ def long_histories(spark: SparkSession, sf_dir: str) -> bool:
     return _long(f"{sf_dir}/conversations.parquet", spark.sparkContext.applicationId)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Redistribute an input that arrives in fewer splits than there are cores.
+
+    A small table in one row group would keep one core busy; a table of many
+    splits (every large one) is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
 
 
 def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
