@@ -28,7 +28,7 @@ def has_long_groups(df: DataFrame, position: str, block: int = BLOCK) -> bool:
 
 @dataclass(frozen=True)
 class Running:
-    """One running value: ``kind`` is first, last, max, min or sum of ``value``."""
+    """One running value: ``kind`` is first, last, max, min, sum or bit_or of ``value``."""
 
     name: str
     kind: str
@@ -41,6 +41,7 @@ _MERGE = {
     "last": lambda local, carry: F.coalesce(local, carry),
     "max": lambda local, carry: F.greatest(local, carry),
     "min": lambda local, carry: F.least(local, carry),
+    "bit_or": lambda local, carry: F.coalesce(local, F.lit(0)).bitwiseOR(F.coalesce(carry, F.lit(0))),
     "sum": lambda local, carry: F.coalesce(local, F.lit(0)) + F.coalesce(carry, F.lit(0)),
 }
 

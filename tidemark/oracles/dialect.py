@@ -132,4 +132,4 @@ def preprocess(col: str, stop: Sequence[str]) -> str:
 
 
 def with_(*ctes: str, body: str) -> str:
-    return "WITH " + ",\n".join(ctes) + "\n" + body
+    return "WITH " + ",\n".join(c for c in ctes) + "\n" + body.strip()

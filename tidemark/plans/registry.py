@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ["analytics", "search"]
+AREAS = ["analytics", "search", "corpus"]
 
 
 def all_queries() -> dict:
