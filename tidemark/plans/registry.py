@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ["analytics", "search", "corpus"]
+AREAS = ["analytics", "search", "corpus", "language"]
 
 
 def all_queries() -> dict:
