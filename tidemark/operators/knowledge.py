@@ -98,12 +98,12 @@ def expand(topics: DataFrame, seeds: str, entities: str, templates: list[str], o
     """Seeds followed by entity x template phrases, first spelling of a phrase kept."""
     made = F.flatten(F.transform(entities, lambda e: F.array(*[
         F.trim(F.replace(F.lit(t), F.lit("{X}"), e)) for t in templates])))
-    staged = topics.withColumn("_made", made)
-    staged = staged.withColumn("_low", F.transform("_made", F.lower)).withColumn(
-        "_seed", F.transform(seeds, F.lower))
-    extra = F.filter("_made", lambda p, i: (F.char_length(p) > 1) & ~F.array_contains(F.col("_seed"), F.lower(p))
-                     & (F.array_position("_low", F.lower(p)) == i + 1))
-    return staged.withColumn(out, F.concat(seeds, extra)).drop("_made", "_low", "_seed")
+    staged = topics.withColumn("_made", made).withColumn(
+        "_low", F.concat(F.transform(seeds, F.lower), F.transform("_made", F.lower)))
+    # a made phrase stays when its lower-cased form first occurs at its own position
+    own = F.size("_low") - F.size("_made")
+    extra = F.filter("_made", lambda p, i: (F.char_length(p) > 1) & (F.array_position("_low", F.lower(p)) == own + i + 1))
+    return staged.withColumn(out, F.concat(seeds, extra)).drop("_made", "_low")
 
 
 def _family(rows: DataFrame, seq: int, id_: Column, title: Column, title_cy: Column, seeds_en: list[Column],
