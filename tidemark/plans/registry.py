@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ["analytics", "search", "corpus", "language", "understanding", "safety"]
+AREAS = ["analytics", "search", "corpus", "language", "understanding", "safety", "web", "streams"]
 
 
 def all_queries() -> dict:
