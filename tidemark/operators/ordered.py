@@ -98,23 +98,23 @@ def with_previous(df: DataFrame, keys: list[str], order: str, k: int, value: Col
     if not blocked:
         w = W.partitionBy(*keys).orderBy(order).rowsBetween(-k, -1)
         return df.withColumn(name, F.collect_list(value).over(w))
-    df = df.withColumn("_block", F.floor(F.col(order) / block)).withColumn("_value", value)
-    w = W.partitionBy(*keys, "_block").orderBy(order)
-    local = df.withColumn("_near", F.collect_list("_value").over(w.rowsBetween(-k, -1)))
+    df = df.withColumn("_wp_block", F.floor(F.col(order) / block)).withColumn("_wp_value", value)
+    w = W.partitionBy(*keys, "_wp_block").orderBy(order)
+    local = df.withColumn("_wp_near", F.collect_list("_wp_value").over(w.rowsBetween(-k, -1)))
 
     def tail(arr: Column) -> Column:
         return F.slice(arr, F.greatest(F.size(arr) - k + 1, F.lit(1)), F.lit(k))
 
     ends = (
-        local.withColumn("_last", F.lead(F.lit(1)).over(w).isNull())
-        .where("_last")
-        .select(*keys, "_block", tail(F.concat("_near", F.array("_value"))).alias("_tail"))
+        local.withColumn("_wp_last", F.lead(F.lit(1)).over(w).isNull())
+        .where("_wp_last")
+        .select(*keys, "_wp_block", tail(F.concat("_wp_near", F.array("_wp_value"))).alias("_wp_tail"))
     )
-    past = W.partitionBy(*keys).orderBy("_block").rowsBetween(-k, -1)
-    carried = ends.select(*keys, "_block", tail(F.flatten(F.collect_list("_tail").over(past))).alias("_carry"))
-    joined = local.join(carried, [*keys, "_block"], "left")
-    both = F.when(F.col("_carry").isNull(), F.col("_near")).otherwise(F.concat("_carry", "_near"))
-    return joined.withColumn(name, tail(both)).drop("_block", "_value", "_near", "_carry")
+    past = W.partitionBy(*keys).orderBy("_wp_block").rowsBetween(-k, -1)
+    carried = ends.select(*keys, "_wp_block", tail(F.flatten(F.collect_list("_wp_tail").over(past))).alias("_wp_carry"))
+    joined = local.join(carried, [*keys, "_wp_block"], "left")
+    both = F.when(F.col("_wp_carry").isNull(), F.col("_wp_near")).otherwise(F.concat("_wp_carry", "_wp_near"))
+    return joined.withColumn(name, tail(both)).drop("_wp_block", "_wp_value", "_wp_near", "_wp_carry")
 
 
 def row_numbers(df: DataFrame, order: list[Column], name: str = "row_no") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark import rules
 from tidemark.functions import text as tx
+from tidemark.operators import answers
 from tidemark.operators import retrieval as rt
 from tidemark.operators.ordered import top_k
 from tidemark.plans import inputs as src
@@ -209,6 +210,10 @@ def context_block(spark, d):
         F.md5(F.array_join(F.array_compact(F.transform("p", lambda x: x["capped"])), "\n\n")).alias("long_block"))
 
 
+def extractive_answer(spark, d):
+    return answers.compose(_with_texts(spark, d, _bm25(spark, d, TOP)))
+
+
 def relevance_gate(spark, d):
     """Keep the first external hit only when a longer query word occurs in it."""
     hit = top_k(_with_texts(spark, d, _bm25(spark, d, TOP)), ["item_id"], [F.desc("rnk")], 1, "last")
@@ -219,4 +224,5 @@ def relevance_gate(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     bm25_stats, bm25_topk, bm25_topk_lang, tfidf_topk, dense_topk, dense_topk_lang, dense_topup, vector_normalise,
-    vector_load, rrf_fuse, hybrid_search, rerank, hybrid_rerank, context_block, relevance_gate)}
+    vector_load, rrf_fuse, hybrid_search, rerank, hybrid_rerank, context_block, relevance_gate,
+    extractive_answer)}
