@@ -55,6 +55,7 @@ def _over(kind: str, col: Column, frame) -> Column:
 def running(df: DataFrame, keys: list[str], order: str, specs: list[Running], blocked: bool = False,
             block: int = BLOCK) -> DataFrame:
     """Add running values from the start of each history up to (or before) each row."""
+    given = df.columns
     df = df.select("*", *[s.value.alias(f"_in_{s.name}") for s in specs])
 
     def frame(window, spec):
@@ -88,8 +89,7 @@ def running(df: DataFrame, keys: list[str], order: str, specs: list[Running], bl
     merged = joined.select(
         "*", *[_MERGE[s.kind](F.col(f"_out_{s.name}"), F.col(f"_carry_{s.name}")).alias(s.name) for s in specs]
     )
-    temp = [f"_{p}_{s.name}" for s in specs for p in ("in", "out", "carry")]
-    return merged.drop("_block", *temp)
+    return merged.select(*given, *[s.name for s in specs])
 
 
 def with_previous(df: DataFrame, keys: list[str], order: str, k: int, value: Column, name: str,
@@ -98,6 +98,7 @@ def with_previous(df: DataFrame, keys: list[str], order: str, k: int, value: Col
     if not blocked:
         w = W.partitionBy(*keys).orderBy(order).rowsBetween(-k, -1)
         return df.withColumn(name, F.collect_list(value).over(w))
+    given = df.columns
     df = df.withColumn("_wp_block", F.floor(F.col(order) / block)).withColumn("_wp_value", value)
     w = W.partitionBy(*keys, "_wp_block").orderBy(order)
     local = df.withColumn("_wp_near", F.collect_list("_wp_value").over(w.rowsBetween(-k, -1)))
@@ -114,7 +115,7 @@ def with_previous(df: DataFrame, keys: list[str], order: str, k: int, value: Col
     carried = ends.select(*keys, "_wp_block", tail(F.flatten(F.collect_list("_wp_tail").over(past))).alias("_wp_carry"))
     joined = local.join(carried, [*keys, "_wp_block"], "left")
     both = F.when(F.col("_wp_carry").isNull(), F.col("_wp_near")).otherwise(F.concat("_wp_carry", "_wp_near"))
-    return joined.withColumn(name, tail(both)).drop("_wp_block", "_wp_value", "_wp_near", "_wp_carry")
+    return joined.withColumn(name, tail(both)).select(*given, name)
 
 
 def row_numbers(df: DataFrame, order: list[Column], name: str = "row_no") -> DataFrame:
