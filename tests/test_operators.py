@@ -57,7 +57,7 @@ def test_dense_blocks_equal_brute_force(spark):
     want = {(i, r + 1): round(float(np.sort(sims[i])[::-1][r]), 4) for i in range(9) for r in range(5) if np.sort(sims[i])[::-1][r] > 0}
     small = {(r.item_id, r.rnk): round(r.score, 4) for r in retrieval.dense_top(vec, ask, 5).collect()}
     defaults = blocks.pair_blocks.__defaults__
-    blocks.pair_blocks.__defaults__ = (4, 16)
+    blocks.pair_blocks.__defaults__ = (4, 16, False)
     try:
         split = {(r.item_id, r.rnk): round(r.score, 4) for r in retrieval.dense_top(vec, ask, 5).collect()}
     finally:

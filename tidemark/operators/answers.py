@@ -50,7 +50,9 @@ def compose(hits: DataFrame, query_id: str = "item_id", footer: str = "") -> Dat
     q = F.col("query_text")
     clean = F.regexp_replace(F.lower(q), r"[^\w\s]", " ")
     terms = F.filter(F.split(clean, r"\s+"), lambda t: (F.char_length(t) > 2) & ~t.isin(*rules.EN_STOP))
-    base = hits.where(F.col("rnk") <= PASSAGES).select(
+    # sentence scoring is heavy per row, so the few hits are spread out first
+    spread = hits.where(F.col("rnk") <= PASSAGES).repartition(hits.sparkSession.sparkContext.defaultParallelism, query_id, "rnk")
+    base = spread.select(
         query_id, "rnk", "score", terms.alias("_terms"), tn.question_type(q).alias("_kind"), tn.qualifiers(q).alias("_quals"),
         F.posexplode(F.split(tx.squeeze(F.col("text")), r"(?<=[.!?])\s+")).alias("_pos", "_s"))
     low = F.lower("_s")

@@ -13,7 +13,7 @@ from tidemark.operators import corpus as cp
 from tidemark.operators import knowledge as kb
 from tidemark.operators import lexicon as lx
 from tidemark.plans import inputs as src
-from tidemark.session import scratch_path
+from tidemark.session import cut, scratch_path
 from tidemark.sources import records
 
 SAMPLE = 500
@@ -94,8 +94,9 @@ def knowledge_docs(spark, d):
 
 
 def _pairs(spark, d):
+    """The merged lexicon: a build product, written once and then read by its users."""
     rec = src.lexicon_records(spark, d)
-    return lx.merge(rec.where("doc_id % 4 = 0"), rec.where("doc_id % 4 <> 0"), SUBJECTS)
+    return cut(lx.merge(rec.where("doc_id % 4 = 0"), rec.where("doc_id % 4 <> 0"), SUBJECTS))
 
 
 def lexicon_merge(spark, d):
@@ -225,9 +226,9 @@ def inventory_counts(spark, d):
     def one(name, df):
         return df.agg(F.count("*").alias("n")).select(F.lit(name).alias("metric"), "n")
 
-    out = one("documents", src.documents(spark, d))
-    for name, df in (("vocabulary", vocab_build(spark, d)), ("pairs", _pairs(spark, d)),
-                     ("reverse_pairs", lx.reverse_map(_pairs(spark, d))), ("topics", src.topics(spark, d))):
+    out, pairs = one("documents", src.documents(spark, d)), _pairs(spark, d)
+    for name, df in (("vocabulary", lx.vocabulary(_terms(spark, d), pairs)), ("pairs", pairs),
+                     ("reverse_pairs", lx.reverse_map(pairs)), ("topics", src.topics(spark, d))):
         out = out.unionByName(one(name, df))
     phrases = src.topics(spark, d).agg(F.sum(F.size(F.split("phrases", "\n"))).alias("n"))
     return out.unionByName(phrases.select(F.lit("phrases").alias("metric"), "n"))

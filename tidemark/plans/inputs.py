@@ -83,7 +83,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User and assistant turns; other roles are rejected before any window."""
-    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    given = spread(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"), "conv_id", "turn")
     both = given.unionByName(spark.createDataFrame(EXAMPLE_TURNS, TURN_SCHEMA))
     return both.where(F.col("role").isin("user", "assistant"))
 
@@ -97,14 +97,14 @@ def long_histories(spark: SparkSession, sf_dir: str) -> bool:
     return _long(f"{sf_dir}/conversations.parquet", spark.sparkContext.applicationId)
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
+def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Redistribute an input that arrives in fewer splits than there are cores.
 
     A small table in one row group would keep one core busy; a table of many
     splits (every large one) is left as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,7 +130,7 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    return spread(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"), "vec_id")
 
 
 def question_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark import rules
 from tidemark.functions import regex as rx
@@ -21,65 +21,56 @@ from tidemark.session import scratch_path
 TURN = "conv_id bigint, turn bigint, role string, text string"
 OUT = "conv_id bigint, turn bigint, emotion string, anchor string, topics string"
 STATE = "near string, anchor string, topics string"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def labelled(turns: DataFrame) -> DataFrame:
-    """Turns with their own emotion, anchor and topic labels."""
+    """Turns with their own emotion, anchor and topic labels; each mask is a column, so it is built once."""
     t = F.col("text")
-    course = tn.mask_first(tn.rule_mask(t, [p for p, _ in rules.COURSES], True), tn.COURSE_LABELS)
-    topic = tn.mask_first(tn.rule_mask(t, [p for p, _ in rules.TOPICS], True), tn.TOPIC_LABELS)
-    raised = tn.mask_list(tn.rule_mask(t, [p for p, _ in rules.TOPICS_RECENT]), tn.RECENT_LABELS)
-    return turns.where(F.col("role").isin("user", "assistant")).select(
+    masks = turns.where(F.col("role").isin("user", "assistant")).select(
         "conv_id", "turn", "role", rx.first_label(t, rules.EMOTIONS, True).alias("own"),
-        F.coalesce(course, topic).alias("here"), F.array_join(raised, ",").alias("raised"))
-
-
-class TurnState(StatefulProcessor):
-    """Keeps the last three (role, label) pairs, the anchor and the topics raised so far."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._state = handle.getValueState("turns", STATE)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        near, anchor, topics = self._state.get() if self._state.exists() else ("", "", "")
-        recent = [tuple(p.split("=", 1)) for p in near.split(";") if p]
-        stack = [t for t in topics.split(",") if t]
-        out = []
-        batch = pd.concat(list(rows)).sort_values("turn")
-        for turn, role, own, here, raised in zip(*(batch[c] for c in ("turn", "role", "own", "here", "raised"))):
-            label = own if isinstance(own, str) else ""
-            if role == "user":
-                anchor = here if isinstance(here, str) else anchor
-                stack += [t for t in raised.split(",") if t and t not in stack]
-                earlier = [lb for r, lb in recent if r == "user" and lb]
-                mood = label or (earlier[-1] if earlier else "neutral")
-                out.append((key[0], turn, mood, anchor or None, ",".join(stack[-5:])))
-            recent = [*recent, (role, label)][-3:]
-        self._state.update((";".join("=".join(p) for p in recent), anchor, ",".join(stack)))
-        yield pd.DataFrame(out, columns=["conv_id", "turn", "emotion", "anchor", "topics"])
-
-    def close(self) -> None:
-        pass
+        tn.rule_mask(t, [p for p, _ in rules.COURSES], True).alias("_course"),
+        tn.rule_mask(t, [p for p, _ in rules.TOPICS], True).alias("_topic"),
+        tn.rule_mask(t, [p for p, _ in rules.TOPICS_RECENT]).alias("_recent"))
+    here = F.coalesce(tn.mask_first(F.col("_course"), tn.COURSE_LABELS), tn.mask_first(F.col("_topic"), tn.TOPIC_LABELS))
+    return masks.select("conv_id", "turn", "role", "own", here.alias("here"),
+                        F.array_join(tn.mask_list(F.col("_recent"), tn.RECENT_LABELS), ",").alias("raised"))
+
+
+def fold(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Fold one conversation's new turns into its state.
+
+    The state is the last three (role, label) pairs, the anchor and the topics
+    raised so far; a trigger's rows of one conversation come unordered.
+    """
+    near, anchor, topics = state.get if state.exists else ("", "", "")
+    recent = [tuple(p.split("=", 1)) for p in near.split(";") if p]
+    stack = [t for t in topics.split(",") if t]
+    out = []
+    rows = pd.concat(list(batches)).sort_values("turn")
+    for turn, role, own, here, raised in zip(*(rows[c] for c in ("turn", "role", "own", "here", "raised"))):
+        label = own if isinstance(own, str) else ""
+        if role == "user":
+            anchor = here if isinstance(here, str) else anchor
+            stack += [t for t in raised.split(",") if t and t not in stack]
+            earlier = [lb for r, lb in recent if r == "user" and lb]
+            mood = label or (earlier[-1] if earlier else "neutral")
+            out.append((key[0], turn, mood, anchor or None, ",".join(stack[-5:])))
+        recent = [*recent, (role, label)][-3:]
+    state.update((";".join("=".join(p) for p in recent), anchor, ",".join(stack)))
+    yield pd.DataFrame(out, columns=["conv_id", "turn", "emotion", "anchor", "topics"])
 
 
 def turn_states(turns: DataFrame) -> DataFrame:
-    return labelled(turns).groupBy("conv_id").transformWithStateInPandas(
-        statefulProcessor=TurnState(), outputStructType=OUT, outputMode="Append", timeMode="None")
+    return labelled(turns).groupBy("conv_id").applyInPandasWithState(
+        fold, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def run_turn_states(spark: SparkSession, path: str) -> DataFrame:
-    """Drain the source once; every micro-batch lands under its own id, so a replay overwrites itself."""
+def run_turn_states(spark: SparkSession, path: str, files_per_trigger: int = 64) -> DataFrame:
+    """Drain the source once in bounded triggers; each lands under its own id, so a replay overwrites itself."""
     out = scratch_path(spark, "turn-states")
-    before = spark.conf.get(PROVIDER)
-    spark.conf.set(PROVIDER, ROCKSDB)
-    try:
-        turns = spark.readStream.schema(TURN).parquet(path)
-        query = (turn_states(turns).writeStream.outputMode("append").trigger(availableNow=True)
-                 .option("checkpointLocation", scratch_path(spark, "turn-offsets"))
-                 .foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{out}/batch={i}")).start())
-        query.awaitTermination()
-    finally:
-        spark.conf.set(PROVIDER, before)
+    turns = spark.readStream.schema(TURN).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+    query = (turn_states(turns).writeStream.outputMode("append").trigger(availableNow=True)
+             .option("checkpointLocation", scratch_path(spark, "turn-offsets"))
+             .foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{out}/batch={i}")).start())
+    query.awaitTermination()
     return spark.read.schema(OUT).parquet(f"{out}/batch=*")
