@@ -90,13 +90,13 @@ def first_present(*texts: Column) -> Column:
 
 
 def counted_terms(df: DataFrame, tokens: Column, *carry: str) -> DataFrame:
-    """(carried columns, dl, term, tf) by sorting each token list and measuring run lengths.
+    """(carried columns, dl, place, term, tf) by sorting each token list and measuring run lengths.
 
     Row-local, so postings need no shuffle and no per-document grouping.  The
     sorted list and the run starts are columns of their own: a lambda would
     recompute an inlined expression for every element.
     """
-    ordered = df.select(*carry, F.array_sort(tokens).alias("_s"))
+    ordered = df.select(*carry, F.sort_array(tokens).alias("_s"))
     starts = F.filter(
         F.when(F.size("_s") > 0, F.sequence(F.lit(1), F.size("_s"))).otherwise(F.array().cast("array<int>")),
         lambda i: (i == 1) | (F.get("_s", i - 1) != F.get("_s", i - 2)),
@@ -111,7 +111,7 @@ def counted_terms(df: DataFrame, tokens: Column, *carry: str) -> DataFrame:
     )
     # the outer form keeps the optimiser from copying the list work into a filter
     return (
-        runs.select(*carry, F.size("_s").alias("dl"), F.explode_outer(counted).alias("_t"))
+        runs.select(*carry, F.size("_s").alias("dl"), F.posexplode_outer(counted).alias("place", "_t"))
         .where("_t IS NOT NULL")
-        .select(*carry, "dl", F.col("_t.term").alias("term"), F.col("_t.tf").alias("tf"))
+        .select(*carry, "dl", "place", F.col("_t.term").alias("term"), F.col("_t.tf").alias("tf"))
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,6 +14,7 @@ from tidemark import rules
 from tidemark.functions import text as tx
 from tidemark.operators.blocks import pair_blocks
 from tidemark.operators.ordered import top_k
+from tidemark.session import cut
 
 # a term row is some 40 bytes, so this bounds a broadcast to about 80 MB
 MAX_BROADCAST_TERMS = 2_000_000
@@ -28,28 +31,41 @@ def postings(docs: DataFrame, doc_id: str, tokens: Column, *carry: str) -> DataF
     return tx.counted_terms(docs, tokens, doc_id, *carry)
 
 
-def corpus_size(docs: DataFrame, tokens: Column) -> DataFrame:
-    """One row: number of non-empty documents and their mean length."""
-    dl = F.size(tokens)
-    return docs.select(dl.alias("dl")).where("dl > 0").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-
-
 def document_frequency(post: DataFrame) -> DataFrame:
     return post.groupBy("term").agg(F.count("*").alias("df"))
 
 
+@dataclass(frozen=True)
+class SparseStats:
+    """Corpus statistics of the sparse index: (term, df, idf), document count, mean length."""
+
+    terms: DataFrame
+    n: int
+    avgdl: float
+
+
+def build_stats(docs: DataFrame, tokens: Column) -> SparseStats:
+    """One pass over the corpus; the vocabulary table is written once and reused.
+
+    Every document has exactly one posting at place 0, so the same grouping also
+    yields the number of non-empty documents and their total length.  Negative idf
+    values are floored at a share of the mean raw idf over the whole vocabulary.
+    """
+    per_term = cut(tx.counted_terms(docs, tokens).groupBy("term").agg(
+        F.count("*").alias("df"), F.sum("tf").alias("total"), F.count_if(F.col("place") == 0).alias("docs")))
+    whole = per_term.agg(F.sum("docs"), F.sum("total")).first()
+    n = whole[0] or 0
+    raw = per_term.withColumn("raw", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    floor = (raw.agg(F.avg("raw")).first()[0] or 0.0) * rules.BM25_EPSILON
+    idf = raw.select("term", "df", F.when(F.col("raw") < 0, floor).otherwise(F.col("raw")).alias("idf"))
+    return SparseStats(idf, n, whole[1] / n if n else 0.0)
+
+
 def query_terms(queries: DataFrame, query_id: str, tokens: Column) -> DataFrame:
     """(query, term, qtf): repeated query tokens count repeatedly."""
     return tx.counted_terms(queries, tokens, query_id).select(query_id, "term", F.col("tf").alias("qtf"))
 
 
-def okapi_idf(freq: DataFrame, n: Column) -> DataFrame:
-    """Okapi idf; negative values are floored at a share of the mean raw idf."""
-    raw = freq.withColumn("raw", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    floor = raw.agg(F.avg("raw").alias("m")).scalar() * rules.BM25_EPSILON
-    return raw.select("term", "df", F.when(F.col("raw") < 0, floor).otherwise(F.col("raw")).alias("idf"))
-
-
 def _accumulate(weighted: DataFrame, wanted: DataFrame, doc_id: str, query_id: str, carry: list[str],
                 n_terms: int) -> DataFrame:
     """Sum the weights of matching terms per (query, document).
@@ -67,22 +83,20 @@ def _accumulate(weighted: DataFrame, wanted: DataFrame, doc_id: str, query_id: s
 
 
 def bm25_scores(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", query_id: str = "item_id",
-                carry: tuple[str, ...] = (), keep: Column | None = None) -> DataFrame:
+                carry: tuple[str, ...] = (), keep: Column | None = None, stats: SparseStats | None = None) -> DataFrame:
     """Okapi BM25 of every (query, document) pair that shares a term.
 
-    ``keep`` restricts the scored documents; statistics always come from all.
+    ``keep`` restricts the scored documents; statistics always come from all, and
+    can be built once with ``build_stats`` for many query tables.
     """
     tokens = tx.index_tokens(F.col("text"))
-    size = corpus_size(docs, tokens)
-    n, avgdl = size.select("n").scalar(), size.select("avgdl").scalar()
-    post = postings(docs, doc_id, tokens, *carry)
+    stats = stats or build_stats(docs, tokens)
     wanted = query_terms(queries, query_id, tokens)
     n_terms = wanted.count()
     vocabulary = wanted.select("term").distinct()
-    idf = okapi_idf(document_frequency(post), n).join(_sized(vocabulary, n_terms), "term", "left_semi")
-    if keep is not None:
-        post = postings(docs.where(keep), doc_id, tokens, *carry)
-    norm = F.col("tf") + rules.BM25_K1 * (1 - rules.BM25_B + rules.BM25_B * F.col("dl") / avgdl)
+    idf = stats.terms.select("term", "idf").join(_sized(vocabulary, n_terms), "term", "left_semi")
+    post = postings(docs if keep is None else docs.where(keep), doc_id, tokens, *carry)
+    norm = F.col("tf") + rules.BM25_K1 * (1 - rules.BM25_B + rules.BM25_B * F.col("dl") / F.lit(stats.avgdl))
     weighted = post.join(_sized(idf, n_terms), "term").select(
         doc_id, *carry, "term", (F.col("idf") * F.col("tf") * (rules.BM25_K1 + 1) / norm).alias("w"))
     return _accumulate(weighted, wanted, doc_id, query_id, list(carry), n_terms)

@@ -103,7 +103,7 @@ def recent_topics(turns: DataFrame, keep: int = 5, blocked: bool = False) -> Dat
     user = turns.where("role = 'user'")
     specs = [Running(f"_t{i}", "min", F.when(rx.matches(t, p), F.col("turn"))) for i, (p, _) in enumerate(rules.TOPICS_RECENT)]
     out = running(user, KEY, "turn", specs, blocked)
-    raised = F.array_sort(F.array_compact(F.array(*[
+    raised = F.sort_array(F.array_compact(F.array(*[
         F.when(F.col(f"_t{i}").isNotNull(), F.struct(F.col(f"_t{i}").alias("at"), F.lit(i).alias("i"), F.lit(label).alias("label")))
         for i, label in enumerate(RECENT_LABELS)])))
     last = F.slice(raised, F.greatest(F.size(raised) - keep + 1, F.lit(1)), F.lit(keep))

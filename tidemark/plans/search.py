@@ -39,12 +39,8 @@ def _union(frames):
 
 
 def bm25_stats(spark, d):
-    docs = src.documents(spark, d).select("doc_id", "text")
-    tokens = tx.index_tokens(F.col("text"))
-    size = rt.corpus_size(docs, tokens)
-    n = size.select("n").scalar()
-    idf = rt.okapi_idf(rt.document_frequency(rt.postings(docs, "doc_id", tokens)), n)
-    return idf.select("term", "df", F.round("idf", 6).alias("idf"), F.round(size.select("avgdl").scalar(), 6).alias("avgdl"))
+    stats = rt.build_stats(src.documents(spark, d).select("doc_id", "text"), tx.index_tokens(F.col("text")))
+    return stats.terms.select("term", "df", F.round("idf", 6).alias("idf"), F.lit(round(stats.avgdl, 6)).alias("avgdl"))
 
 
 def _bm25(spark, d, k):
