@@ -35,8 +35,10 @@ t AS (SELECT doc_id, n, list_filter(string_split(c, ' '), lambda x: x <> '') AS
   list_filter(list_transform(regexp_extract_all(c, '[^.!?…\\n]+[.!?…]?'), lambda s: string_split(trim(s), ' ')), lambda s: len(s) >= 5) AS s FROM c),
 w AS (SELECT *, CASE WHEN len(t) >= 12 THEN list_transform(range(1, len(t) - 4), lambda i: array_to_string(t[i:i + 5], ' ')) ELSE [] END AS g FROM t),
 f AS (SELECT doc_id, n, s, n >= 100 AND len(list_distinct(g)) < len(g) AS win FROM w),
-sent AS (SELECT doc_id, unnest(s) AS b, generate_subscripts(s, 1) AS j FROM f WHERE n >= 100 AND NOT win),
-near AS (SELECT DISTINCT x.doc_id FROM sent x JOIN sent y ON x.doc_id = y.doc_id AND x.j < y.j AND len(y.b) >= 0.8 * len(list_distinct(x.b))
-  WHERE len(list_filter(y.b, lambda k: list_contains(x.b, k))) / greatest(len(list_distinct(x.b)), len(y.b)) >= 0.8)
+sent AS (SELECT doc_id, b, j, list_distinct(b) AS d, len(b) AS n, len(list_distinct(b)) AS nd FROM (
+  SELECT doc_id, unnest(s) AS b, generate_subscripts(s, 1) AS j FROM f WHERE n >= 100 AND NOT win)),
+near AS (SELECT DISTINCT x.doc_id FROM sent x JOIN sent y ON x.doc_id = y.doc_id AND x.j < y.j AND y.n >= 0.8 * x.nd
+    AND len(list_intersect(x.d, y.d)) >= 1
+  WHERE len(list_filter(y.b, lambda k: list_contains(x.d, k))) / greatest(x.nd, y.n) >= 0.8)
 SELECT doc_id, win OR doc_id IN (SELECT doc_id FROM near) AS repeated FROM f""",
 }

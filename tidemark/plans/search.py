@@ -108,7 +108,9 @@ def _filled_dense(spark, d, min_fill):
     keys = _keys(spark, d)
     filtered = _dense_by_lang(spark, d).join(keys, "vec_id").select("item_id", "key", "doc_id", "rnk")
     v, q = _tagged_vectors(spark, d), src.question_vectors(spark, d)
-    frames = [_asked(filtered.join(q.select("item_id", "query_lang"), "item_id"), None).drop("query_lang")]
+    plain = _asked(filtered.join(q.select("item_id", "query_lang"), "item_id"), None).drop("query_lang")
+    # ranks close up where a vector has no passage
+    frames = [top_k(plain.withColumnRenamed("rnk", "_at"), ["item_id"], [F.col("_at")], pool(DEFAULT_K[None])).drop("_at")]
     for lang in ("cy", "en"):
         k = DEFAULT_K[lang]
         general = rt.dense_top(v, _asked(q, lang), pool(k), positive=False).join(keys, "vec_id")
