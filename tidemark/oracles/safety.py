@@ -33,12 +33,16 @@ FROM (SELECT *, CASE WHEN total = 0 THEN 0 ELSE supported / total END AS r FROM
 WITH c AS (SELECT doc_id, length(text) AS n, {squeeze('lower(text)')} AS c FROM documents),
 t AS (SELECT doc_id, n, list_filter(string_split(c, ' '), lambda x: x <> '') AS t,
   list_filter(list_transform(regexp_extract_all(c, '[^.!?…\\n]+[.!?…]?'), lambda s: string_split(trim(s), ' ')), lambda s: len(s) >= 5) AS s FROM c),
-w AS (SELECT *, CASE WHEN len(t) >= 12 THEN list_transform(range(1, len(t) - 4), lambda i: array_to_string(t[i:i + 5], ' ')) ELSE [] END AS g FROM t),
-f AS (SELECT doc_id, n, s, n >= 100 AND len(list_distinct(g)) < len(g) AS win FROM w),
-sent AS (SELECT doc_id, b, j, list_distinct(b) AS d, len(b) AS n, len(list_distinct(b)) AS nd FROM (
+w AS (SELECT doc_id, count(DISTINCT g) < count(g) AS win FROM (
+  SELECT doc_id, CASE WHEN lead(term, 5) OVER o IS NOT NULL THEN concat_ws(' ', term, lead(term, 1) OVER o, lead(term, 2) OVER o,
+    lead(term, 3) OVER o, lead(term, 4) OVER o, lead(term, 5) OVER o) END AS g
+  FROM (SELECT doc_id, unnest(t) AS term, generate_subscripts(t, 1) AS pos FROM t WHERE len(t) >= 12)
+  WINDOW o AS (PARTITION BY doc_id ORDER BY pos)) GROUP BY doc_id),
+f AS (SELECT doc_id, n, s, n >= 100 AND coalesce(win, false) AS win FROM t LEFT JOIN w USING (doc_id)),
+sent AS (SELECT doc_id, b, j, len(b) AS n, len(list_distinct(b)) AS nd FROM (
   SELECT doc_id, unnest(s) AS b, generate_subscripts(s, 1) AS j FROM f WHERE n >= 100 AND NOT win)),
-near AS (SELECT DISTINCT x.doc_id FROM sent x JOIN sent y ON x.doc_id = y.doc_id AND x.j < y.j AND y.n >= 0.8 * x.nd
-    AND len(list_intersect(x.d, y.d)) >= 1
-  WHERE len(list_filter(y.b, lambda k: list_contains(x.d, k))) / greatest(x.nd, y.n) >= 0.8)
+tok AS (SELECT doc_id, j, term, any_value(n) AS n, any_value(nd) AS nd, count(*) AS c FROM (SELECT doc_id, j, n, nd, unnest(b) AS term FROM sent) GROUP BY 1, 2, 3),
+near AS (SELECT DISTINCT doc_id FROM (SELECT x.doc_id, x.j, y.j AS k, sum(y.c) / greatest(any_value(x.nd), any_value(y.n)) AS share
+  FROM tok x JOIN tok y ON x.doc_id = y.doc_id AND x.term = y.term AND x.j < y.j AND y.n >= 0.8 * x.nd GROUP BY 1, 2, 3) WHERE share >= 0.8)
 SELECT doc_id, win OR doc_id IN (SELECT doc_id FROM near) AS repeated FROM f""",
 }
