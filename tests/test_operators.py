@@ -220,3 +220,44 @@ def test_fact_gate_and_off_topic(spark):
     lit = F.lit
     flag = un.off_topic(lit(0.1), lit(False), lit(0.0), lit(0.1), lit(False), lit(False))
     assert spark.range(1).select(flag).first()[0] is True
+
+
+def test_daily_stream_in_another_zone(spark, sf):
+    from tidemark.streaming.feedback import run_daily
+    utc = sorted(tuple(r) for r in run_daily(spark, f"{sf}/events*.parquet").collect())
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        other = sorted(tuple(r) for r in run_daily(spark, f"{sf}/events*.parquet").collect())
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert utc == other and len(utc) == 30
+
+
+def test_sparse_stats_reused(spark):
+    from tidemark.functions import text as tx
+    docs = spark.createDataFrame([(1, "fee fee campus"), (2, "campus library"), (3, "")], "doc_id bigint, text string")
+    q = spark.createDataFrame([(9, "fee library")], "item_id bigint, text string")
+    stats = retrieval.build_stats(docs, tx.index_tokens(F.col("text")))
+    assert (stats.n, stats.avgdl) == (2, 2.5)
+    fresh = {tuple(r) for r in retrieval.bm25_scores(docs, q).collect()}
+    assert fresh == {tuple(r) for r in retrieval.bm25_scores(docs, q, stats=stats).collect()}
+
+
+def test_extractive_answer(spark):
+    from tidemark.operators import answers
+    hits = spark.createDataFrame([
+        (1, 1, 0.5, "how much are the fees", "The weather is nice in this town today. Tuition fees are £9,000 per year for everyone!"),
+        (1, 2, 0.4, "how much are the fees", "Tuition fees are £9,000 per year for everyone! The fees office opens early each day.")],
+        "item_id int, rnk int, score double, query_text string, text string")
+    row = answers.compose(hits).first()
+    assert row.answer.startswith("Tuition fees are £9,000 per year for everyone!") and row.answer.count("£9,000") == 1
+    assert row.n_sentences == 3
+
+
+def test_pick_response_is_stable(spark):
+    resp = spark.createDataFrame([(1, "a", "en", "x"), (2, "a", "en", "y"), (3, "a", "cy", "z"), (4, "b", "en", "w")],
+                                 "seq int, tag string, lang string, text string")
+    asked = spark.createDataFrame([(0, "a", "en"), (1, "a", "en"), (2, "a", "cy"), (3, "b", "cy"), (4, "none", "en")],
+                                  "draw int, tag string, lang string")
+    got = {r.draw: r.response for r in knowledge.pick_response(asked, resp, F.col("draw")).collect()}
+    assert got == {0: "x", 1: "y", 2: "z", 3: "w", 4: None}

@@ -15,11 +15,17 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
 
 
 def daily_health(events: DataFrame, late: str = "1 day") -> DataFrame:
-    """Entries and mean rating per day; event time needs an instant, so the stamp is cast."""
-    rated = events.select(F.col("ts").cast("timestamp").alias("ts"), (1 + F.col("event_id") % 5).alias("satisfaction"))
+    """Entries and mean rating per day.
+
+    Event time must be an instant, so the zone-free stamp is read as UTC whatever
+    the session zone is; day windows are aligned to UTC.
+    """
+    zone = F.current_timezone()
+    instant = F.from_utc_timestamp(F.col("ts").cast("timestamp"), zone)
+    rated = events.select(instant.alias("ts"), (1 + F.col("event_id") % 5).alias("satisfaction"))
     per_day = rated.withWatermark("ts", late).groupBy(F.window("ts", "1 day").alias("w")).agg(
         F.count("*").alias("n"), F.round(F.avg("satisfaction"), 6).alias("avg_satisfaction"))
-    return per_day.select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "n", "avg_satisfaction")
+    return per_day.select(F.date_format(F.to_utc_timestamp("w.start", zone), "yyyy-MM-dd").alias("day"), "n", "avg_satisfaction")
 
 
 def run_daily(spark: SparkSession, path: str) -> DataFrame:
