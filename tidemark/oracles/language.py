@@ -179,4 +179,11 @@ tk AS (SELECT item_id, term, min(pos) AS pos FROM (SELECT item_id, unnest({lang.
   FROM questions WHERE query_lang = 'cy') GROUP BY 1, 2),
 gl AS (SELECT item_id, string_agg(en, ' ' ORDER BY pos) AS g FROM tk JOIN pairs_cy ON cy = term GROUP BY 1)""", body="""
 SELECT item_id, CASE WHEN g IS NOT NULL THEN text || '  [en: ' || g || ']' ELSE text END AS augmented FROM questions LEFT JOIN gl USING (item_id)"""),
+    "pronoun_anchor": with_(TURNS, body=f"""
+SELECT conv_id, turn, asks AS asks_back, CASE WHEN asks THEN coalesce(
+    list_filter(list_transform(list_filter(h, lambda x: x.role = 'user')[-3:], lambda x: x.anchor), lambda v: length(v) > 2)[-1],
+    list_filter(list_transform(list_filter(h, lambda x: x.role = 'assistant')[-2:], lambda x: x.anchor), lambda v: length(v) > 2)[-1]) END AS anchor
+FROM (SELECT *, coalesce({follow_up('s')} AND len(h) > 0 AND ({rx('s', rules.PRONOUN)} OR ({words('s')} <= 6 AND {rx_any('s', rules.ELLIPTIC)})), false) AS asks
+  FROM (SELECT *, {strip('text')} AS s, list({{'role': role, 'anchor': a}}) OVER ({_W} ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) AS h
+    FROM (SELECT *, {anchor('text')} AS a FROM turns))) WHERE role = 'user'"""),
 }
