@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import quality, sharding, token_cache
+from tidemark.llm import decontaminate, line_dedup, quality, sharding, token_cache
 from tidemark.llm.common import table
 
 
@@ -28,5 +28,17 @@ def op10_token_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_cache.token_counts(docs, public_tokenizers.path("piece_bpe_32k.model"), token_cache.fresh_cache(spark))
 
 
-QUERIES = {"op1_best_fit_shards": op1_best_fit_shards, "op10_token_cache": op10_token_cache, "op5_quality_rules": op5_quality_rules}
+def op2_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.line_dedup(table(spark, sf_dir, "documents"), counts=("n_lines", "n_removed"))
+    return out.select("doc_id", "n_lines", "n_removed", "text")
+
+
+QUERIES = {
+    "op2_spaced_seeds": op2_spaced_seeds, "op3_line_dedup": op3_line_dedup,
+    "op1_best_fit_shards": op1_best_fit_shards, "op10_token_cache": op10_token_cache, "op5_quality_rules": op5_quality_rules,
+}
 ORACLES: dict[str, str] = {}
