@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, line_dedup, quality, sharding, token_cache
+from tidemark.llm import decontaminate, line_dedup, pii, quality, sharding, token_cache
 from tidemark.llm.common import table
 
 
@@ -37,7 +37,18 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op9_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.found_spans(table(spark, sf_dir, "documents"), F.col("doc_id"))
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(F.col("row").alias("doc_id"), *[count(k) for k in pii.KINDS], F.sha2(pii.joined_spans(F.col("base")), 256).alias("base_sha256"),
+                        pii.joined_spans(F.col("spans")).alias("spans"), count("term"))
+
+
 QUERIES = {
+    "op9_disclosure": op9_disclosure,
     "op2_spaced_seeds": op2_spaced_seeds, "op3_line_dedup": op3_line_dedup,
     "op1_best_fit_shards": op1_best_fit_shards, "op10_token_cache": op10_token_cache, "op5_quality_rules": op5_quality_rules,
 }
