@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, line_dedup, pii, quality, sharding, token_cache
+from tidemark.llm import classifier, decontaminate, line_dedup, pii, quality, sharding, token_cache
 from tidemark.llm.common import table
 
 
@@ -47,7 +47,12 @@ def op9_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
                         pii.joined_spans(F.col("spans")).alias("spans"), count("term"))
 
 
+def op6_nb_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
+    "op6_nb_svm": op6_nb_svm,
     "op9_disclosure": op9_disclosure,
     "op2_spaced_seeds": op2_spaced_seeds, "op3_line_dedup": op3_line_dedup,
     "op1_best_fit_shards": op1_best_fit_shards, "op10_token_cache": op10_token_cache, "op5_quality_rules": op5_quality_rules,
