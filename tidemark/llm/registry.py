@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import classifier, decontaminate, line_dedup, pii, quality, sharding, token_cache
+from tidemark.llm import classifier, decontaminate, line_dedup, pieces, pii, quality, sharding, token_cache
 from tidemark.llm.common import table
 
 
@@ -51,7 +51,14 @@ def op6_nb_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pieces.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), [F.col("doc_id")])
+
+
 QUERIES = {
+    "op8_piece_lattice": op8_piece_lattice,
     "op6_nb_svm": op6_nb_svm,
     "op9_disclosure": op9_disclosure,
     "op2_spaced_seeds": op2_spaced_seeds, "op3_line_dedup": op3_line_dedup,
