@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import classifier, decontaminate, line_dedup, pieces, pii, quality, sharding, token_cache
+from tidemark.llm import classifier, decontaminate, line_dedup, main_text, pieces, pii, quality, sharding, token_cache
 from tidemark.llm.common import table
 
 
@@ -57,7 +57,13 @@ def op8_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), [F.col("doc_id")])
 
 
+def op7_block_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = main_text.extract(table(spark, sf_dir, "pages"), ["page_id", "url"])
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 QUERIES = {
+    "op7_block_rules": op7_block_rules,
     "op8_piece_lattice": op8_piece_lattice,
     "op6_nb_svm": op6_nb_svm,
     "op9_disclosure": op9_disclosure,
