@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import classifier, decontaminate, line_dedup, main_text, pieces, pii, quality, sharding, token_cache
+from tidemark.llm import classifier, decontaminate, line_dedup, main_text, ngram_join, pieces, pii, quality, sharding, token_cache
 from tidemark.llm.common import table
 
 
@@ -62,7 +62,12 @@ def op7_block_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op4_signature_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 QUERIES = {
+    "op4_signature_trees": op4_signature_trees,
     "op7_block_rules": op7_block_rules,
     "op8_piece_lattice": op8_piece_lattice,
     "op6_nb_svm": op6_nb_svm,
