@@ -325,10 +325,12 @@ def _signatures(texts: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component (its smallest id, then row key) and every row without words, with exactly the columns of ``docs``."""
+    """One row of each component (its smallest id, then row key) and every row without words, with exactly the columns of ``docs``.
+
+    Of rows that repeat an id and its text one stays.
+    """
     found = near_duplicates(docs, id_col, text_col)
     best = found.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct(F.col(id_col).isNull().alias("z"), F.col(id_col).alias("i"), "oa", "ob")).alias("x"))
     kept = best.select("x.oa", "x.ob").union(found.where("n_shingles = 0").select("oa", "ob").distinct())
-    keyed = docs.select(F.struct("*").alias("row"), row_key(F.col(id_col), F.col(text_col)).alias("own"))
-    kept = kept.select(F.col("oa").alias("a"), F.col("ob").alias("b"))
-    return keyed.join(kept, (F.col("own.a") == F.col("a")) & (F.col("own.b") == F.col("b")), "left_semi").select("row.*")
+    keyed = docs.select(F.struct("*").alias("row"), row_key(F.col(id_col), F.col(text_col)).alias("own")).select("row", F.col("own.a").alias("oa"), F.col("own.b").alias("ob"))
+    return keyed.join(kept, ["oa", "ob"], "left_semi").dropDuplicates(["oa", "ob"]).select("row.*")

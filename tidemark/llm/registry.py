@@ -66,7 +66,14 @@ def op4_signature_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
+    "pipeline": pipeline,
     "op4_signature_trees": op4_signature_trees,
     "op7_block_rules": op7_block_rules,
     "op8_piece_lattice": op8_piece_lattice,

@@ -21,7 +21,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def sets(texts: pa.Array) -> Iterator[np.ndarray]:
     """Sorted distinct 64-bit shingles of every text (A-Z lowered, words between ASCII white space); empty without words."""
-    split = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("").cast(pa.large_string())))
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("") if texts.null_count else texts))
     flat, owner = split.flatten(), pc.list_parent_indices(split)
     worded = pc.greater(pc.binary_length(flat), 0)
     flat, owner = flat.filter(worded), owner.filter(worded).to_numpy()
