@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import classifier, decontaminate, line_dedup, main_text, ngram_join, pieces, pii, quality, sharding, token_cache
 from tidemark.llm.common import table
+from tidemark.llm.oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES"]
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,4 +85,3 @@ QUERIES = {
     "op2_spaced_seeds": op2_spaced_seeds, "op3_line_dedup": op3_line_dedup,
     "op1_best_fit_shards": op1_best_fit_shards, "op10_token_cache": op10_token_cache, "op5_quality_rules": op5_quality_rules,
 }
-ORACLES: dict[str, str] = {}
