@@ -40,6 +40,12 @@ def replace(text: Column, pattern: str, value: str, unicode_words: bool = False)
     return F.regexp_replace(text, compile_rule(pattern, unicode_words), value)
 
 
+def rewrite(text: Column, compiled: str, value) -> Column:
+    """Every match of a compiled rule replaced by ``value(match, its number from 0)``, match by match from the left."""
+    gaps, hits = F.split(text, compiled, -1), F.regexp_extract_all(text, F.lit(compiled), F.lit(0))
+    return F.array_join(F.zip_with(gaps, F.transform(hits, value), lambda g, v: F.concat(g, F.coalesce(v, F.lit("")))), "")
+
+
 def first_label(text: Column, rules: Iterable[tuple[str, str]], unicode_words: bool = False) -> Column:
     """Label of the first (label, pattern) rule that matches; one regex per distinct label run."""
     merged: list[tuple[str, list[str]]] = []

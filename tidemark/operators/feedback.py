@@ -97,19 +97,24 @@ def _yes_no(flag: str) -> Column:
     return F.when(F.col(flag), "Yes").when(~F.col(flag), "No").otherwise("")
 
 
-def csv_rows(rows: DataFrame) -> DataFrame:
-    """Export rows: running number newest first, Yes/No/blank flags, quoted comments."""
-    quoted = F.concat(F.lit('"'), F.replace(F.coalesce("comments", F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+def export_rows(rows: DataFrame) -> DataFrame:
+    """Export rows: running number newest first, Yes/No/blank flags, comments as they are."""
     return row_numbers(rows, [F.desc("ts"), F.desc("event_id")]).select(
         "row_no", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), F.col("satisfaction").alias("rating"),
         _yes_no("helpful").alias("helpful"), _yes_no("correct_language").alias("correct_language"),
-        quoted.alias("comments"),
+        F.coalesce("comments", F.lit("")).alias("comments"),
     )
 
 
+def csv_rows(rows: DataFrame) -> DataFrame:
+    """The export with comments quoted as a CSV line shows them."""
+    quoted = F.concat(F.lit('"'), F.replace("comments", F.lit('"'), F.lit('""')), F.lit('"'))
+    return export_rows(rows).withColumn("comments", quoted)
+
+
 def write_csv(rows: DataFrame, path: str) -> None:
-    """The export as CSV part files with doubled quotes."""
-    rows.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    """The export as CSV part files; the writer alone quotes."""
+    export_rows(rows).write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(path)
 
 
 def drop_off_sessions(rows: DataFrame, gap_minutes: int = 30) -> DataFrame:

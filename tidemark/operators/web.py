@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from html.parser import HTMLParser
+from contextlib import suppress
+from html import unescape
 from urllib.parse import urljoin
 
 import pandas as pd
@@ -18,51 +19,41 @@ from tidemark.session import cut
 PAGE_FIELDS = "page_id bigint, url string, title string, lang string, text string, links array<string>"
 
 
-class _Reader(HTMLParser):
-    """Collects visible text, title, document language and absolute links of one page."""
-
-    def __init__(self, base: str):
-        super().__init__()
-        self.base, self.hidden, self.titled = base, 0, False
-        self.title, self.lang, self.parts, self.links = "", "en", [], []
-
-    def handle_starttag(self, tag, attrs):
-        values = dict(attrs)
-        self.hidden += tag in rules.SKIPPED_TAGS
-        self.titled = self.titled or tag == "title"
-        if tag == "html" and values.get("lang"):
-            self.lang = "cy" if values["lang"].startswith("cy") else "en"
-        target = (values.get("href") or "").strip()
-        if tag == "a" and target:
-            try:
-                self.links.append(urljoin(self.base, target))
-            except ValueError:
-                pass
-
-    def handle_endtag(self, tag):
-        if tag in rules.SKIPPED_TAGS and self.hidden:
-            self.hidden -= 1
-        if tag == "title":
-            self.titled = False
-
-    def handle_data(self, data):
-        data = data.strip()
-        if data and self.titled:
-            self.title += data
-        elif data and not self.hidden:
-            self.parts.append(data)
+_RAW = re.compile(r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>")
+_COMMENT = re.compile(r"(?s)<!--.*?(?:-->|$)")
+_TITLE = re.compile(r"(?is)<title\b[^>]*>(.*?)</title\s*>")
+_LANGUAGE = re.compile(r"(?i)<html\b[^>]*\slang\s*=\s*[\"']?([a-z-]+)")
+_LINK = re.compile(r"(?i)<a\s[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))")
+_TAG = re.compile(r"<[/!?a-zA-Z][^>]*>")
+_HIDDEN = "|".join(rules.SKIPPED_TAGS)
+_INNERMOST = re.compile(rf"(?is)<({_HIDDEN})\b[^>]*>(?:(?!<(?:{_HIDDEN})\b).)*?</\1\s*>")
+
+
+def _read_page(url: str, html: str) -> tuple[str, str, str, list[str]]:
+    """(title, lang, text, links): what is never shown is cut out, the rest is split at its tags."""
+    shown = _COMMENT.sub(" ", _RAW.sub(" ", html))
+    links = []
+    for target in (unescape("".join(x)).strip() for x in _LINK.findall(shown)):
+        if target:
+            with suppress(ValueError):
+                links.append(urljoin(url, target))
+    title, lang = _TITLE.search(shown), _LANGUAGE.search(shown)
+    shown = _TITLE.sub(" ", shown)
+    while (inner := _INNERMOST.sub(" ", shown)) != shown:
+        shown = inner
+    pieces = (re.sub(r"[ \t]+", " ", unescape(x)).strip() for x in _TAG.split(shown))
+    return (unescape(title[1]).strip() if title else "", "cy" if lang and lang[1].lower().startswith("cy") else "en",
+            " ".join(x for x in pieces if x), links)
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
-    """(page_id, url, title, lang, text, links) parsed batch by batch; Welsh paths override the language."""
+    """(page_id, url, title, lang, text, links) read batch by batch; Welsh paths override the language."""
     def parse(batches):
         for batch in batches:
             out = []
             for page_id, url, html in zip(batch["page_id"], batch["url"], batch["html"]):
-                page = _Reader(url)
-                page.feed(html or "")
-                text = re.sub(r"[ \t]+", " ", " ".join(page.parts)).strip()
-                out.append((page_id, url, page.title.strip() or url, page.lang, text, page.links))
+                title, lang, text, links = _read_page(url, html or "")
+                out.append((page_id, url, title or url, lang, text, links))
             yield pd.DataFrame(out, columns=["page_id", "url", "title", "lang", "text", "links"])
 
     parsed = pages.select("page_id", "url", "html").mapInPandas(parse, PAGE_FIELDS)
@@ -129,21 +120,37 @@ def page_language(html: Column, url: Column, tag: str = "cy", paths: list[str] =
 
 
 def hrefs(html: Column) -> Column:
-    return F.regexp_extract_all(html, F.lit(r'(?i)<a\s[^>]*?href="([^"]*)"'), F.lit(1))
+    """Link targets in page order, quoted either way or bare; comments hold none."""
+    shown = F.regexp_replace(html, r"(?s)<!--.*?(?:-->|$)", " ")
+    found = F.regexp_extract_all(shown, F.lit(r"""(?i)<a\s[^>]*?\bhref\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""), F.lit(1))
+    return F.transform(found, lambda x: F.regexp_replace(x, r"""^["']|["']$""", ""))
+
+
+def _without_dots(path: Column) -> Column:
+    """A path with its ``.`` and ``..`` segments taken out."""
+    last = F.element_at(F.split(path, "/"), -1)
+
+    def step(acc: Column, part: Column) -> Column:
+        return F.when(part == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).when(part == ".", acc).otherwise(F.concat(acc, F.array(part)))
+
+    kept = F.aggregate(F.slice(F.split(path, "/"), 2, 1 << 30), F.array().cast("array<string>"), step)
+    folder = F.when(last.isin(".", "..") & (F.size(kept) > 0), "/").otherwise("")
+    return F.when(path.rlike(r"(^|/)\.\.?(/|$)"), F.concat(F.lit("/"), F.array_join(kept, "/"), folder)).otherwise(path)
 
 
 def resolve(base: Column, href: Column) -> Column:
-    """Absolute form of a link: absolute, scheme-, root-, query- or fragment-relative, else same folder."""
+    """Absolute form of a link: absolute, scheme-, root-, query- or fragment-relative, else same folder; dot segments resolved."""
     root = F.concat(_part(base, 1), F.lit("://"), _part(base, 2))
     path, query = _part(base, 3), _part(base, 4)
     folder = F.regexp_replace(path, "[^/]*$", "")
+    own, rest = F.regexp_extract(href, r"^([^?#]*)(.*)$", 1), F.regexp_extract(href, r"^([^?#]*)(.*)$", 2)
     return (
         F.when(href.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), href)
         .when(F.startswith(href, F.lit("//")), F.concat(_part(base, 1), F.lit(":"), href))
-        .when(F.startswith(href, F.lit("/")), F.concat(root, href))
+        .when(F.startswith(href, F.lit("/")), F.concat(root, _without_dots(own), rest))
         .when(F.startswith(href, F.lit("#")), F.concat(root, path, query, href))
         .when(F.startswith(href, F.lit("?")), F.concat(root, path, href))
-        .otherwise(F.concat(root, F.when(folder == "", "/").otherwise(folder), href))
+        .otherwise(F.concat(root, _without_dots(F.concat(F.when(folder == "", "/").otherwise(folder), own)), rest))
     )
 
 
@@ -165,8 +172,8 @@ def frontier(links: DataFrame, visited: DataFrame, domains: list[str]) -> DataFr
     return per.join(seen, "norm", "left").withColumn("visited", F.coalesce("_seen", F.lit(False))).drop("_seen")
 
 
-def crawl_levels(edges: DataFrame, seeds: DataFrame, domains: list[str], max_depth: int = 10) -> DataFrame:
-    """(norm, level): breadth-first levels; only allowed, unskipped, unseen links enter the next level.
+def crawl_levels(edges: DataFrame, seeds: DataFrame, domains: list[str]) -> DataFrame:
+    """(norm, level): breadth-first levels until one is empty; only allowed, unskipped, unseen links enter the next level.
 
     Each level is checkpointed on the shared folder, so the plan stays flat and a
     lost executor does not replay the whole crawl.
@@ -177,7 +184,9 @@ def crawl_levels(edges: DataFrame, seeds: DataFrame, domains: list[str], max_dep
     level = seeds.select(normalise_url(F.col("url")).alias("norm")).distinct()
     visited = cut(level.withColumn("level", F.lit(0)))
     current = visited
-    for depth in range(1, max_depth + 1):
+    depth = 0
+    while True:
+        depth += 1
         fresh = current.select("norm").join(usable, "norm").select(F.col("next").alias("norm")).distinct().join(
             visited.select("norm"), "norm", "left_anti")
         current = cut(fresh.withColumn("level", F.lit(depth)))

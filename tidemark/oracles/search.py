@@ -144,6 +144,6 @@ SELECT item_id, md5(coalesce(string_agg(short, chr(10) || chr(10) ORDER BY rnk)
     "relevance_gate": with_(BM25, bm25_top(5), body=r"""
 SELECT item_id, doc_id, len(list_filter(list_filter(regexp_split_to_array(lower(b.text), '\s+'), lambda w: length(w) > 3),
     lambda w: contains(lower(d.text), w))) > 0 AS relevant
-FROM (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY rnk DESC) AS last FROM bm25_top) h
-JOIN benchmark b USING (item_id) JOIN documents d USING (doc_id) WHERE last = 1"""),
+FROM (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY rnk) AS first FROM bm25_top) h
+JOIN benchmark b USING (item_id) JOIN documents d USING (doc_id) WHERE first = 1"""),
 }

@@ -60,6 +60,6 @@ UNION ALL SELECT 'urls_seen', count(DISTINCT {norm('url')}) FROM pages""",
     "crawl_levels": f"""WITH RECURSIVE {LINKS},
 usable AS (SELECT DISTINCT {norm('src')} AS norm, {norm('dst')} AS nxt FROM links WHERE NOT {skip('dst')} AND {allowed('dst')}),
 walk(norm, level) AS (SELECT DISTINCT {norm('url')}, 0 FROM pages
-  UNION SELECT nxt, level + 1 FROM walk JOIN usable USING (norm) WHERE level < 10)
+  UNION SELECT nxt, level + 1 FROM walk JOIN usable USING (norm) WHERE level < 40)
 SELECT norm, min(level) AS level FROM walk GROUP BY norm""",
 }

@@ -214,7 +214,7 @@ def extractive_answer(spark, d):
 
 def relevance_gate(spark, d):
     """Keep the first external hit only when a longer query word occurs in it."""
-    hit = top_k(_with_texts(spark, d, _bm25(spark, d, TOP)), ["item_id"], [F.desc("rnk")], 1, "last")
+    hit = top_k(_with_texts(spark, d, _bm25(spark, d, TOP)), ["item_id"], [F.asc("rnk")], 1, "first")
     asked = F.filter(F.split(F.lower("query_text"), r"\s+"), lambda w: F.char_length(w) > 3)
     body = F.lower(F.col("text"))
     return hit.select("item_id", "doc_id", F.exists(asked, lambda w: F.contains(body, w)).alias("relevant"))
