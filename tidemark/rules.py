@@ -27,17 +27,25 @@ FUNCTION_WORDS = (
     "shwmae shwmai prynhawn dda"
 ).split()
 
-# English words never counted as vocabulary hits (closed-class
-# core; callers pass further terms, e.g. brand names, as a parameter).
+# English words never counted as vocabulary hits; the institution's own
+# names are a parameter.
 ENGLISH_STOP = (
     "a an the and or but if of in on at to for with from by as is are was were "
     "be been being have has had do does did will would should could may might must can "
     "i you he she it we they me him her us them my your his its our their "
     "this that these those what when where why who how which "
     "no not yes all any some more most less hello hi hey thanks please ok okay "
-    "course courses fee fees module modules campus library student students university "
+    "course courses fee fees module modules campus library student students uni university "
     "help tell show give make take get go come find see know think want need like feel "
-    "today tomorrow yesterday now then here there good bad new old first last next"
+    "today tomorrow yesterday now then here there good bad new old first last next previous "
+    "year years day days week weeks month months time money people person thing things way ways "
+    "about after before between during into over through under until while without "
+    "deadline exam exams essay essays assignment assignments lecture lectures tutor tutors "
+    "computing engineering business law art design "
+    "write twitter data python script scrape code programme program api api'r json csv html css "
+    "javascript java ruby rust linux windows mac internet web website url link click open close "
+    "google facebook instagram linkedin youtube reddit video audio image photo file folder document "
+    "ucas bbc nhs uk us"
 ).split()
 
 # Answer filter (one diacritic or two of these words).
@@ -155,15 +163,25 @@ TERM_STOP = (
     "their our we he she you my me him her us per may use act set new age end day men man "
     "yes no non sub pre pro via see any how"
 ).split()
-# Closed-class core of the fact stoplist; further fillers are a parameter.
+# Words that carry no topic in a fact or a question about one.
 FACT_STOP = (
     "a an the is are was were be been am do does did "
     "i you he she it we they me my your his her our their "
     "to of in on at for with from by as and or but so "
     "this that these those what when where why how which who whom "
-    "not no yes can could would should will may might about there into please ok okay hi hello hey "
-    "feel really very quite just bit need want get got have has going help right now find know tell show "
-    "y yr yn ar o fy dy ei eu ein eich ac ond dw rwy ydy yw mae oes beth ble pryd pam sut faint"
+    "not no yes can could would should will may might "
+    "about there into please pls plz ok okay uh um hi hello hey "
+    "feeling feel feels felt really very quite so just bit little "
+    "need want get got have having has going trying hard "
+    "im ive id ill dont cant wont isnt arent wasnt help helps helping "
+    "right now ok okay fine sure good bad like talk see "
+    "find found look looking learn know tell show get go "
+    "information info details more something anything everything "
+    "i y yr yn ar o am fy dy ei eu ein eich a ac ond "
+    "dw rwy rwyf ydw ydy yw ond mae oes beth ble pryd pam sut faint "
+    "ti chi fo fe hi nhw chdi eich yr hwn hon hwnna hwnnw honno "
+    "plis helo helô shwmae shwdi teimlo teimla teimlaf teimlol "
+    "wir iawn hefyd nawr rwan eisiau isie isio moyn angen cael"
 ).split()
 
 # ---------------------------------------------------------------- corpus filters
@@ -515,24 +533,30 @@ ELLIPTIC = [
     r"^(postgraduate|undergraduate|international|home|part-time|full-time|online)\b",
 ]
 # Anchors.  Named services first, then general qualifiers; the
-# institution's own product names are a parameter.
+# institution's own product names are passed as further terms.
 NAMED_TERMS = [
     "Moodle", "Wellbeing", "IT Services", "Student Finance", "Student Services",
     "UCAS", "DSA", "VLE", "Mount Pleasant", "Townhill", "Clearing",
-    "Additional Learning Support", "Careers", "Programme Manager", "personal tutor",
+    "Additional Learning Support", "Careers", "Disabled Students Allowance", "Programme Manager", "personal tutor",
 ]
 QUALIFIER_TERMS = [
     "SA1", "Carmarthen", "Lampeter", "Swansea", "Cardiff", "Birmingham", "London",
-    "Nursing", "Engineering", "Business", "Psychology", "Art and Design",
-    "Applied Computing", "Computing", "Education", "Law", "Architecture", "Film", "Acting",
-    "Performing Arts", "Games Design", "Animation", "Cyber Security", "Computer Science", "Sport",
-    "Tourism", "Marketing", "Accounting", "Finance", "Health", "Social Work", "Counselling",
-    "Teacher Training", "PGCE", "MBA", "PhD", "masters",
+    "Nursing", "nursing", "Engineering", "engineering", "Business", "business",
+    "Psychology", "psychology", "Art and Design", "art and design",
+    "Applied Computing", "Computing", "computing", "Education", "education",
+    "Law", "law", "Architecture", "architecture", "Film", "film", "Acting", "acting",
+    "Performing Arts", "Games Design", "Games Art", "Animation", "animation",
+    "Cyber Security", "Computer Science", "Sport", "sport", "Tourism", "tourism",
+    "Marketing", "marketing", "Accounting", "accounting", "Finance", "finance",
+    "Health", "health", "Social Work", "social work", "Counselling", "counselling",
+    "Teacher Training", "PGCE", "MBA", "PhD", "masters", "Masters",
     "accommodation", "postgraduate", "undergraduate", "tuition", "scholarship",
     "bursary", "halls", "fees", "dissertation", "assignment", "coursework",
-    "deadline", "deadlines", "timetable", "library", "wifi", "printing", "parking", "bus",
-    "enrolment", "graduation", "open day", "visa", "placement", "internship", "exam", "exams",
-    "revision", "results", "application", "apply", "offer", "interview",
+    "deadline", "deadlines", "timetable", "timetables", "library", "libraries",
+    "wifi", "printing", "parking", "bus", "transport", "shuttle", "enrolment",
+    "enrollment", "graduation", "open day", "clearing", "visa", "placement",
+    "internship", "exam", "exams", "revision", "results", "transcript", "diploma",
+    "references", "reference", "application", "apply", "offer", "interview",
 ]
 TITLE_PHRASE = r"\b([A-Z][a-zA-Z]+(?:\s+[A-Z][a-zA-Z]+){0,2})\b"
 CLARIFY_REPLY = [
@@ -567,11 +591,35 @@ DIALOGUE_ACTS = [
         r"no thanks\.?!?", r"nope\.?!?", r"nah\.?!?", r"(not )?really\.?!?", r"i don'?t think so\.?!?",
     ]),
 ]
+# Seed utterances of every act, English then Welsh.
 SEED_PHRASES = [
-    ("clarify", ["what", "huh", "sorry", "pardon", "what do you mean"]),
-    ("acknowledge", ["ok", "okay", "got it", "makes sense"]),
-    ("ask_more", ["tell me more", "more please", "go on"]),
-    ("yes_no", ["yes", "no", "yeah", "nope"]),
+    ("clarify", [
+        "what", "huh", "sorry", "pardon", "pardon me", "what do you mean",
+        "i dont understand", "come again", "say that again",
+        "repeat that", "repeat please", "could you repeat",
+        "didnt catch that", "im confused", "not sure i follow",
+        "beth", "sori", "mae'n ddrwg gennyf", "beth ydych chin ei feddwl",
+        "ailadroddwch", "dydw i ddim yn deall", "dwin drysu",
+    ]),
+    ("acknowledge", [
+        "ok", "okay", "alright", "cool", "nice", "sounds good",
+        "got it", "gotcha", "understood", "noted", "i see",
+        "makes sense", "fair enough", "right", "perfect", "awesome",
+        "iawn", "ocê", "wrth gwrs", "deallaf", "da iawn",
+    ]),
+    ("ask_more", [
+        "tell me more", "more", "more please", "more info",
+        "go on", "keep going", "continue", "anything else",
+        "what else", "elaborate", "explain",
+        "mwy", "mwy os gwelwch yn dda", "parhau", "ymhelaethu",
+        "dywedwch fwy", "beth arall",
+    ]),
+    ("yes_no", [
+        "yes", "yes please", "yeah", "yep", "yup", "of course",
+        "certainly", "definitely", "absolutely", "sure",
+        "no", "no thanks", "nope", "nah", "not really",
+        "ydw", "ie", "wrth gwrs", "na", "nac ydw", "dim diolch",
+    ]),
 ]
 
 # --------------------------------------------------------------------- safety
