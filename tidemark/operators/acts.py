@@ -33,14 +33,14 @@ def mined_phrases(rows: DataFrame, text: str, spark: SparkSession) -> DataFrame:
     return mined.where("category IS NOT NULL").union(seeds).distinct()
 
 
-def exemplars(phrases: DataFrame, shown: int = 20) -> DataFrame:
-    """(category, title, content): one passage per act, with the first phrasings in sorted order.
+def exemplars(phrases: DataFrame, shown: int | None = None) -> DataFrame:
+    """(category, title, content): one passage per act, with its phrasings in sorted order.
 
-    Only the first ``shown`` phrasings of an act are ever gathered.
+    With ``shown``, only the first so many phrasings of an act are gathered.
     """
     from tidemark.operators.ordered import top_k
 
-    first = top_k(phrases, ["category"], [F.col("phrase")], shown)
+    first = phrases if shown is None else top_k(phrases, ["category"], [F.col("phrase")], shown)
     quoted = F.transform(F.sort_array(F.collect_list("phrase")), lambda p: F.concat(F.lit('"'), p, F.lit('"')))
     related = first.groupBy("category").agg(F.array_join(quoted, ", ").alias("_related"))
     table = F.lit(None)

@@ -49,8 +49,8 @@ def dedupe_patterns(patterns: DataFrame, keep_in: list[tuple[str, str]]) -> Data
     return keyed.join(first, "_key").withColumn("removed", removed).drop("_key", "_first", "_n", "_held")
 
 
-def audit(patterns: DataFrame, responses: DataFrame, facts: DataFrame, shown: int = 30) -> DataFrame:
-    """(rule, tag, msg, n_issues): per-rule issues, the first ``shown`` of each rule listed."""
+def audit(patterns: DataFrame, responses: DataFrame, facts: DataFrame, shown: int | None = None) -> DataFrame:
+    """(rule, tag, msg, n_issues): per-rule issues, all of them, or the first ``shown`` of each rule."""
     n_pat = patterns.groupBy("tag").agg(F.count("*").alias("p"))
     n_resp = responses.groupBy("tag").agg(
         F.sum(F.size(F.coalesce("responses_en", "responses_list", F.array()))).alias("en"),
@@ -89,7 +89,7 @@ def audit(patterns: DataFrame, responses: DataFrame, facts: DataFrame, shown: in
     for p in parts[1:]:
         problems = problems.unionByName(p)
     totals = problems.groupBy("rule").agg(F.count("*").alias("n_issues"))
-    listed = top_k(problems, ["rule"], [F.col("tag"), F.col("msg")], shown)
+    listed = problems if shown is None else top_k(problems, ["rule"], [F.col("tag"), F.col("msg")], shown)
     return listed.join(F.broadcast(totals), "rule")  # at most one total per rule: five rows
 
 

@@ -73,10 +73,10 @@ MINED = f"""mined AS (SELECT DISTINCT category, phrase FROM (
 _TEMPL = " ".join(f"WHEN {q(c)} THEN {q(f'Reply to {chr(34)}{en}{chr(34)} ({chr(34)}{cy}{chr(34)}): {r} Also phrased as: ')}"
                   for c, en, cy, r in TEMPLATES)
 
-_PAIR = f"array_to_string({lang.letters('{}')}[1:2], ' ')"
-SHORT = f"short AS (SELECT seq, tag, {_PAIR.format('pattern')} AS pattern FROM patterns)"
+_PAIR = f"array_to_string({lang.letters('{}')}, ' ')"
+WHOLE = f"whole AS (SELECT seq, tag, {_PAIR.format('pattern')} AS pattern FROM patterns)"
 _TAG = f"({lst(inputs.INTENT_TAGS)})[conv_id % {len(inputs.INTENT_TAGS)} + 1]"
-TAGGED_TURNS = f"""tagged_turns AS (SELECT conv_id * 1000 + turn AS seq,
+TAGGED_TURNS = f"""tagged_turns AS (SELECT conv_id * 4294967296 + turn AS seq,
   CASE WHEN conv_id % 7 = 0 THEN 'unknown_tag' ELSE {_TAG} END AS tag, {_PAIR.format('text')} AS pattern FROM conversations WHERE role = 'user')"""
 _OVERRIDE = "CASE k " + " ".join(f"WHEN {q(k)} THEN {q(t)}" for k, t in pc.KEEP_IN) + " END"
 
@@ -199,22 +199,22 @@ SELECT source, title, lang, md5(text) AS text_md5 FROM (
     "exemplar_chunks": with_(TURNS, MINED, body=f"""
 SELECT category, 'How to reply: ' || category AS title, CASE category {_TEMPL} END || string_agg('"' || phrase || '"', ', ' ORDER BY phrase) || '.' AS content
 FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY phrase) AS r FROM mined) WHERE r <= 20 GROUP BY category"""),
-    "pattern_merge": with_(PATTERNS, SHORT, TAGGED_TURNS, body="""
-, merged AS (SELECT DISTINCT tag, pattern FROM (SELECT tag, pattern FROM patterns WHERE seq % 2 = 0 UNION ALL SELECT tag, pattern FROM short)),
-added AS (SELECT tag, min_by(pattern, seq) AS pattern, lower(trim(pattern)) AS k FROM tagged_turns WHERE tag IN (SELECT tag FROM short) GROUP BY tag, k)
+    "pattern_merge": with_(PATTERNS, WHOLE, TAGGED_TURNS, body="""
+, merged AS (SELECT DISTINCT tag, pattern FROM (SELECT tag, pattern FROM patterns WHERE seq % 2 = 0 UNION ALL SELECT tag, pattern FROM whole)),
+added AS (SELECT tag, min_by(pattern, seq) AS pattern, lower(trim(pattern)) AS k FROM tagged_turns WHERE tag IN (SELECT tag FROM whole) GROUP BY tag, k)
 SELECT tag, 'merged' AS origin, md5(pattern) AS pattern_md5 FROM merged
 UNION ALL SELECT tag, 'added', md5(pattern) FROM added a WHERE k <> '' AND NOT EXISTS (
   SELECT 1 FROM merged m WHERE m.tag = a.tag AND lower(trim(m.pattern)) = a.k)"""),
-    "pattern_dedupe": with_(PATTERNS, SHORT, TAGGED_TURNS, body=f"""
-, allp AS (SELECT *, lower(trim(pattern)) AS k FROM (SELECT seq, tag, pattern FROM short UNION ALL SELECT seq + 1000000000, tag, pattern FROM tagged_turns)),
+    "pattern_dedupe": with_(PATTERNS, WHOLE, TAGGED_TURNS, body=f"""
+, allp AS (SELECT *, lower(trim(pattern)) AS k FROM (SELECT seq, tag, pattern FROM whole UNION ALL SELECT seq + 4611686018427387904, tag, pattern FROM tagged_turns)),
 g AS (SELECT k, min_by(tag, seq) AS first, count(*) AS n, {_OVERRIDE} AS o, bool_or(tag = coalesce({_OVERRIDE}, '')) AS held FROM allp GROUP BY k)
 SELECT seq, tag, pattern, n > 1 AND k <> '' AND coalesce(tag <> CASE WHEN o IS NULL THEN first WHEN held THEN o END, false) AS removed
 FROM allp JOIN g USING (k)"""),
-    "kb_audit": with_(PATTERNS, SHORT, RESPONSES, FACTS, body=f"""
-, pt AS (SELECT tag, count(*) AS p FROM short GROUP BY 1),
+    "kb_audit": with_(PATTERNS, WHOLE, RESPONSES, FACTS, body=f"""
+, pt AS (SELECT tag, count(*) AS p FROM whole GROUP BY 1),
 rs AS (SELECT tag, count(*) FILTER (WHERE shape IN (0, 1)) AS en, count(*) FILTER (WHERE shape = 2) AS cy FROM responses GROUP BY 1),
 pp AS (SELECT tag, coalesce(p, 0) AS p, coalesce(en, 0) AS en, coalesce(cy, 0) AS cy FROM pt FULL JOIN rs USING (tag)),
-fk AS (SELECT lower(trim(pattern)) AS k, min_by(tag, seq) AS first FROM short GROUP BY 1),
+fk AS (SELECT lower(trim(pattern)) AS k, min_by(tag, seq) AS first FROM whole GROUP BY 1),
 problems AS (
   SELECT 'R1' AS rule, tag, 'only ' || p || ' patterns' AS msg FROM pp WHERE p < 3
   UNION ALL SELECT 'R1', tag, 'only ' || en || ' English responses' FROM pp WHERE en < 2
@@ -224,7 +224,7 @@ problems AS (
   UNION ALL SELECT 'R3', id, 'no Welsh question' FROM facts WHERE NOT ({rx('question', rules.DIACRITIC_WIDE)} OR {rx('question', r'\b(sut|beth|ble|pryd|pam|faint|ydy|yw)\b')})
   UNION ALL SELECT 'R4', id, 'fees fact without qualifiers' FROM facts WHERE contains(id, 'fees-') AND len(qualifiers) = 0
   UNION ALL SELECT 'R4', id, 'unknown qualifier ' || x FROM (SELECT id, unnest(qualifiers) AS x FROM facts) WHERE contains(id, 'fees-') AND x NOT IN {in_list(rules.AUDIT_QUALIFIERS)}
-  UNION ALL SELECT 'R5', tag, 'duplicate pattern of ' || first || ': ' || k FROM (SELECT tag, lower(trim(pattern)) AS k FROM short) JOIN fk USING (k)
+  UNION ALL SELECT 'R5', tag, 'duplicate pattern of ' || first || ': ' || k FROM (SELECT tag, lower(trim(pattern)) AS k FROM whole) JOIN fk USING (k)
     WHERE k <> '' AND tag <> first)
 SELECT rule, tag, msg, n_issues FROM (SELECT *, count(*) OVER (PARTITION BY rule) AS n_issues,
   row_number() OVER (PARTITION BY rule ORDER BY tag, msg) AS r FROM problems) WHERE r <= 30"""),

@@ -77,7 +77,7 @@ FEEDBACK = """feedback AS (
     CASE WHEN k % 4 = 0 THEN event_type || ' said "' || k || '"' END AS comments
   FROM (SELECT *, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events))"""
 LEXICON_RECORDS = r"""records AS (
-  SELECT doc_id * 100000 + pos AS seq, doc_id, source AS subject,
+  SELECT doc_id * 4294967296 + pos AS seq, doc_id, source AS subject,
     array_to_string(t[1:(pos % 3) + 1], ' ') AS cy, t[-1] AS en
   FROM (SELECT doc_id, source, pos - 1 AS pos, regexp_extract_all(lower(line), '[a-zâêîôûŵŷ'']+') AS t
     FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line,
@@ -85,12 +85,12 @@ LEXICON_RECORDS = r"""records AS (
   WHERE len(t) > 0)"""
 _TAG = f"{lst(inputs.INTENT_TAGS)}"
 PATTERNS = f"""patterns AS (
-  SELECT item_id * 1000 + pos AS seq, ({_TAG})[(item_id + pos) % {len(inputs.INTENT_TAGS)} + 1] AS tag, pattern
+  SELECT item_id * 4294967296 + pos AS seq, ({_TAG})[(item_id + pos) % {len(inputs.INTENT_TAGS)} + 1] AS tag, pattern
   FROM (SELECT item_id, unnest(string_split(text, '. ')) AS pattern,
     generate_subscripts(string_split(text, '. '), 1) - 1 AS pos FROM benchmark)
   WHERE trim(pattern) <> '')"""
 RESPONSES = f"""responses AS (
-  SELECT conv_id * 1000 + turn AS seq, ({_TAG})[conv_id % {len(inputs.INTENT_TAGS)} + 1] AS tag,
+  SELECT conv_id * 4294967296 + turn AS seq, ({_TAG})[conv_id % {len(inputs.INTENT_TAGS)} + 1] AS tag,
     conv_id % 3 AS shape, text FROM conversations WHERE role = 'assistant')"""
 
 

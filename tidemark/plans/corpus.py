@@ -190,36 +190,36 @@ def dialogue_acts(spark, d):
 
 
 def exemplar_chunks(spark, d):
-    return acts.exemplars(acts.mined_phrases(src.turns(spark, d).where("role = 'user'"), "text", spark))
+    return acts.exemplars(acts.mined_phrases(src.turns(spark, d).where("role = 'user'"), "text", spark), shown=20)
 
 
 def _tagged_turns(spark, d):
     u = src.table(spark, d, "conversations").where("role = 'user'")
     tag = F.when(F.col("conv_id") % 7 == 0, "unknown_tag").otherwise(src._tag(F.col("conv_id")))
-    return u.select((F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), tag.alias("tag"),
-                    F.array_join(F.slice(tx.letter_tokens(F.col("text")), 1, 2), " ").alias("pattern"))
+    return u.select((F.col("conv_id") * src.SEQ + F.col("turn")).alias("seq"), tag.alias("tag"),
+                    F.array_join(tx.letter_tokens(F.col("text")), " ").alias("pattern"))
 
 
-def _short_patterns(spark, d):
+def _whole_patterns(spark, d):
     return src.intent_patterns(spark, d).select(
-        "seq", "tag", F.array_join(F.slice(tx.letter_tokens(F.col("pattern")), 1, 2), " ").alias("pattern"))
+        "seq", "tag", F.array_join(tx.letter_tokens(F.col("pattern")), " ").alias("pattern"))
 
 
 def pattern_merge(spark, d):
-    base = _short_patterns(spark, d)
+    base = _whole_patterns(spark, d)
     training = src.intent_patterns(spark, d).where("seq % 2 = 0")
     return kb.merge_patterns(training, base, _tagged_turns(spark, d)).select("tag", "origin", F.md5("pattern").alias("pattern_md5"))
 
 
 def pattern_dedupe(spark, d):
-    rows = _short_patterns(spark, d).unionByName(
-        _tagged_turns(spark, d).withColumn("seq", F.col("seq") + 1_000_000_000))
+    rows = _whole_patterns(spark, d).unionByName(
+        _tagged_turns(spark, d).withColumn("seq", F.col("seq") + (1 << 62)))
     return kb.dedupe_patterns(rows, KEEP_IN)
 
 
 def kb_audit(spark, d):
     facts = src.facts(spark, d)
-    return kb.audit(_short_patterns(spark, d), src.intent_responses(spark, d), facts).select("rule", "tag", "msg", "n_issues")
+    return kb.audit(_whole_patterns(spark, d), src.intent_responses(spark, d), facts, shown=30).select("rule", "tag", "msg", "n_issues")
 
 
 def inventory_counts(spark, d):

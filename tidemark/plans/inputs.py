@@ -164,7 +164,7 @@ def lexicon_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         line.select("doc_id", "source", "pos", t.alias("t"))
         .where(F.size("t") > 0)
         .select(
-            (F.col("doc_id") * 100_000 + F.col("pos")).alias("seq"),
+            (F.col("doc_id") * SEQ + F.col("pos")).alias("seq"),
             "doc_id", F.col("source").alias("subject"),
             F.array_join(F.slice("t", F.lit(1), n), " ").alias("cy"),
             F.element_at("t", -1).alias("en"),
@@ -172,6 +172,9 @@ def lexicon_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Order keys pack (id, place) with room for so many places; ids stay below 2 ** 30.
+SEQ = 1 << 32
+
 INTENT_TAGS = [
     "courses_computing", "courses_nursing", "fees_tuition", "accommodation_general", "library",
     "wellbeing_general", "graduation", "admissions_apply", "it_wifi", "campuses_swansea",
@@ -187,14 +190,14 @@ def intent_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(seq, tag, pattern): sentences of the benchmark items, tagged in turn."""
     s = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.split("text", r"\. ")).alias("pos", "pattern"))
     return s.where("trim(pattern) <> ''").select(
-        (F.col("item_id") * 1000 + F.col("pos")).alias("seq"), _tag(F.col("item_id") + F.col("pos")).alias("tag"),
+        (F.col("item_id") * SEQ + F.col("pos")).alias("seq"), _tag(F.col("item_id") + F.col("pos")).alias("tag"),
         "pattern")
 
 
 def intent_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(seq, tag, responses_list | responses_en | responses_cy): both stored shapes."""
     a = table(spark, sf_dir, "conversations").where("role = 'assistant'")
-    seq = F.col("conv_id") * 1000 + F.col("turn")
+    seq = F.col("conv_id") * SEQ + F.col("turn")
     one = F.array("text")
     return a.select(
         seq.alias("seq"), _tag(F.col("conv_id")).alias("tag"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -30,12 +31,14 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder; a local one is made only where none is configured."""
+    """The shared checkpoint folder; a local one is made only in local mode and where none is configured."""
     context = spark.sparkContext
     current = context._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and not re.match(r"local(\[|$)", context.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="tidemark-", dir="/tmp"))
     return context._jsc.sc().getCheckpointDir().get()
 
