@@ -77,7 +77,7 @@ def token_counts(docs: DataFrame, path: str, cache: str, id_col: str = "doc_id",
     rows = rows.select("id", digest(F.col("text")).alias("content"), row_key(F.col("id"), F.col("text")).alias("own"), "text")
     first = rows.groupBy("content").agg(F.min("own").alias("own"))
     wanted = first.join(read_cache(spark, cache, version), "content", "left_anti").select("own")
-    missing = rows.join(wanted, "own", "left_semi").select("content", "text")
+    missing = rows.join(wanted, "own", "left_semi").dropDuplicates(["own"]).select("content", "text")
     fresh = encode_counts(missing, path)
     fresh.select("content", F.lit(version).alias("version"), "n_tokens").write.mode("append").parquet(cache)
     sizes = docs.select(F.col(id_col).alias("id"), digest(F.col(text_col)).alias("content"),
