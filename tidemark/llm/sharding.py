@@ -4,7 +4,7 @@ Groups are packed in rounds. A round deals the groups over packets of about ``PA
 groups, largest first, each into the open box with the least room that still takes it (a balanced search tree over the
 remaining room). A box is a group of the next round, so the number of groups falls by about ``PACKET / BOXES`` a round and
 the last round has at most ``PACKET`` of them at any input size. The last round looks for the least capacity at which
-best-fit-decreasing needs no more than the wanted number of shards; a group above the fair share gets a shard of its own
+best-fit-decreasing needs no more than the wanted number of shards, then levels the last difference; a group above the fair share gets a shard of its own
 and the others share the rest. Boxes are tiny against a shard, so shards end up near equal in bytes.
 
 A null text has no bytes and goes with the empty texts. Equal texts are one group and stay together, repeated rows
@@ -14,6 +14,7 @@ of copies is counted by partial sums and never gathered; its rows get their shar
 
 from __future__ import annotations
 
+from bisect import insort
 from collections.abc import Iterable
 
 import pandas as pd
@@ -110,7 +111,27 @@ def near_equal(sizes: list[int], shards: int) -> list[int]:
             high = max(high, low)
         else:
             best, high = found, middle
-    return [*range(giants), *(giants + b for b in best)]
+    return [*range(giants), *(giants + b for b in levelled(rest, best, n))]
+
+
+def levelled(sizes: list[int], boxes: list[int], n: int) -> list[int]:
+    """Best fit fills early boxes to the brim: move the least group of the fullest box to the emptiest while that narrows the gap."""
+    loads, held, out = [0] * n, [[] for _ in range(n)], list(boxes)
+    for i, (size, box) in enumerate(zip(sizes, boxes, strict=True)):
+        loads[box] += size
+        held[box].append((size, i))
+    for h in held:
+        h.sort(reverse=True)
+    for _ in range(len(sizes)):
+        full, light = loads.index(max(loads)), loads.index(min(loads))
+        if not held[full] or held[full][-1][0] >= loads[full] - loads[light]:
+            break
+        size, i = held[full].pop()
+        insort(held[light], (size, i), key=lambda x: (-x[0], -x[1]))
+        loads[full] -= size
+        loads[light] += size
+        out[i] = light
+    return out
 
 
 def _packed(groups: DataFrame, boxes_of) -> DataFrame:
@@ -128,7 +149,8 @@ def pack_groups(groups: DataFrame, shards: int) -> DataFrame:
     while (n := level.count()) > PACKET:
         packets = -(-n // PACKET)
         dealt = level.select("key", "size", F.pmod(F.xxhash64("key", F.lit(len(rounds))), F.lit(packets)).alias("packet"))
-        inside = stage(_packed(dealt, lambda sizes: best_fit(sizes, max(1, sum(sizes) // BOXES))), "boxes")
+        boxes = max(min(BOXES, PACKET // 4), PACKET // (2 * packets))  # so that the last round has many boxes a shard
+        inside = stage(_packed(dealt, lambda sizes, n=boxes: best_fit(sizes, max(1, sum(sizes) // n))), "boxes")
         box = F.sha2(F.concat_ws("/", F.lit(len(rounds)), "packet", "box"), 256)
         rounds.append(inside.select("key", F.unhex(box).alias("up")))
         level = stage(inside.groupBy("packet", "box").agg(F.sum("size").alias("size")).select(F.unhex(box).alias("key"), "size"), "level")
