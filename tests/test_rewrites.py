@@ -71,3 +71,18 @@ def test_csv_reads_back(spark):
     feedback.write_csv(rows, path)
     back = spark.read.option("header", True).option("escape", '"').csv(path).first()
     assert back["comments"] == 'said "hi", twice' and back["helpful"] == "Yes"
+
+
+def test_dense_tiles_agree_with_one_product(spark, monkeypatch):
+    import numpy as np
+
+    from tidemark.operators import retrieval
+
+    rng = np.random.default_rng(4)
+    vectors = spark.createDataFrame([(i, [float(x) for x in rng.integers(-2, 3, 4)]) for i in range(300)], "vec_id long, embedding array<double>")
+    queries = spark.createDataFrame([(i, [float(x) for x in rng.integers(-2, 3, 4)]) for i in range(9)], "item_id long, query array<double>")
+    whole = retrieval.dense_top(vectors, queries, 7).toPandas()
+    monkeypatch.setattr(retrieval, "TILE", 500)
+    tiled = retrieval.dense_top(vectors, queries, 7).toPandas()
+    order = ["item_id", "score", "vec_id"]
+    assert whole.sort_values(order).to_numpy().tolist() == tiled.sort_values(order).to_numpy().tolist() and len(whole) == 63

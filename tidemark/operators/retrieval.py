@@ -150,6 +150,10 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.divide(m, norms, out=np.zeros_like(m), where=norms > 0)
 
 
+#: Similarities held at a time by one task.
+TILE = 1 << 22
+
+
 def dense_top(vectors: DataFrame, queries: DataFrame, k: int, vec_id: str = "vec_id", query_id: str = "item_id",
               vector: str = "embedding", query_vector: str = "query", positive: bool = True) -> DataFrame:
     """Exact cosine top k of every query over all vectors.
@@ -164,15 +168,18 @@ def dense_top(vectors: DataFrame, queries: DataFrame, k: int, vec_id: str = "vec
         block = block[block[vector].map(lambda v: v is not None and len(v) > 0)]
         if block.empty or asked.empty:
             return pd.DataFrame({query_id: [], vec_id: [], "score": []})
-        sims = np.round(_matrix(asked[query_vector]) @ _matrix(block[vector]).T, 6)
-        block_ids = block[vec_id].to_numpy()
-        order = np.lexsort((np.broadcast_to(block_ids, sims.shape), -sims), axis=1)[:, :k]
-        best = np.take_along_axis(sims, order, axis=1)
-        return pd.DataFrame({
-            query_id: np.repeat(asked[query_id].to_numpy(), order.shape[1]),
-            vec_id: block_ids[order].ravel(),
-            "score": best.ravel(),
-        })
+        right, block_ids, out = _matrix(block[vector]).T, block[vec_id].to_numpy(), []
+        rows = max(1, TILE // len(block))
+        for at in range(0, len(asked), rows):  # a tile of similarities at a time
+            part = asked.iloc[at : at + rows]
+            sims = np.round(_matrix(part[query_vector]) @ right, 6)
+            least = np.partition(sims, -k, axis=1)[:, -k] if k < sims.shape[1] else np.full(len(part), -np.inf)
+            for name, row, floor in zip(part[query_id], sims, least, strict=True):
+                able = np.flatnonzero(row >= floor)
+                able = able[np.lexsort((block_ids[able], -row[able]))[:k]]
+                out.append((np.repeat(name, len(able)), block_ids[able], row[able]))
+        names, found, scores = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pd.DataFrame({query_id: names, vec_id: found, "score": scores})
 
     found = pair_blocks(vectors.select(vec_id, vector), queries.select(query_id, query_vector), kernel, schema,
                         vec_id, query_id)
@@ -201,7 +208,8 @@ def fuse(lists: dict[str, DataFrame], k: int, query_id: str = "item_id", key: st
 
 
 def passage_key(text: Column) -> Column:
-    return F.substring(text, 1, rules.KEY_CHARS)
+    """What makes two hits the same passage: the whole text."""
+    return F.md5(text)
 
 
 def top_up(filtered: DataFrame, general: DataFrame, wanted: int, query_id: str = "item_id") -> DataFrame:

@@ -53,7 +53,7 @@ _ALLOWED = ("CASE query_lang WHEN 'cy' THEN lang IS NOT DISTINCT FROM 'cy' "
             "WHEN 'en' THEN lang IS DISTINCT FROM 'cy' ELSE true END")
 DENSE_LANG = f"""dense_lang AS (SELECT * FROM (SELECT item_id, query_lang, vec_id, score, {_RANK.format('vec_id')} AS rnk
   FROM cos WHERE {_ALLOWED}) WHERE rnk <= {_POOL})"""
-KEYS = f"keys AS (SELECT doc_id, substring(text, 1, {rules.KEY_CHARS}) AS key, text, lang FROM tagged)"
+KEYS = f"keys AS (SELECT doc_id, md5(text) AS key, text, lang FROM tagged)"
 
 
 def topup(fill: str) -> str:

@@ -698,7 +698,6 @@ SKIPPED_TAGS = ["script", "style", "nav", "footer", "header", "noscript", "ifram
 # Fixed values.
 BM25_K1, BM25_B, BM25_EPSILON = 1.5, 0.75, 0.25
 RRF_K = 60
-KEY_CHARS = 120
 TFIDF_FLOOR = 0.05
 TOPIC_FLOOR = 0.12
 FACT_FLOOR = 0.28
