@@ -3,15 +3,16 @@
 Two texts link when their sets of five-word shingles have Jaccard similarity of 0.75 at least. Equal sets are one vertex.
 
 Blocks. In a common order of shingles (those frequent in some batch last, then by hash) a set's first
-``n - ceil(0.75 n) + k`` shingles, k = max(1, n // 20), share at least min(k, k') shingles with those of any partner, so
-every link has a shingle that both hold in front. Tasks send these front shingles packed, by hash range. Vertices that
-share one form a block. Blocks of up to ``SMALL`` vertices give their pairs, kept only if the shared shingles can reach
-min(k, k'). In larger blocks every vertex is first compared with the block centre it shares most with.
+``n - ceil(0.75 n) + k`` shingles, k = max(1, n // 10), meet those of any partner, so every link has a shingle that both
+hold in front. Tasks send these front shingles packed, by hash range. Vertices that share one form a block. A pair that
+shares c front shingles has at most ``c + max(rest, rest')`` in common, rest being what is not in front; pairs and
+vertices that so miss ``3 (n + n') / 7`` are dropped before any text is read. Blocks of up to ``SMALL`` vertices give
+their pairs. In larger blocks every vertex is first compared with the block centre it shares most with.
 
 Trees. Large blocks that then still hold several components get a signature tree: leaves carry a vertex's size and bitmap
 of shingles, inner nodes the OR of the bitmaps and the size range below. A dual traversal from (root, root) down drops node
 pairs whose largest possible overlap misses ``3 (n + n') / 7``, whose sizes cannot match or that lie in one component. What
-is left at the leaves is compared exactly. Pairs inside a component are never enumerated, so no group is expanded.
+is left at the leaves is counted over all blocks, held against the front bound and then compared exactly. Pairs inside a component are never enumerated, so no group is expanded.
 
 Bounds only drop pairs that cannot link: the result is exact up to collisions of 64-bit hashes. Null and empty texts have
 no shingles and link with nothing. Repeated rows and texts are one vertex; null ids count only if a component has no other.
@@ -26,7 +27,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import shingles
@@ -47,9 +48,19 @@ BROADCAST_ROWS = 500_000
 _BITS = (6, 16)
 
 
-def front(n: np.ndarray | int):
-    """Least number of shared front shingles that n asks for."""
-    return np.maximum(1, n // 20)
+def front(n: int) -> int:
+    """How many shingles of a set of n stand in front."""
+    return min(n, n - (3 * n + 3) // 4 + max(1, n // 10))
+
+
+def _rest(n: str) -> Column:
+    k = F.greatest(F.lit(1), F.floor(F.col(n) / 10))
+    return F.greatest(F.lit(0), F.ceil(0.75 * F.col(n)) - k)
+
+
+def _reaches(c: Column) -> Column:
+    """Whether c shared front shingles leave room for a link of sets of n_a and n_b shingles."""
+    return (4 * F.least("n_a", "n_b") >= 3 * F.greatest("n_a", "n_b")) & (7 * (c + F.greatest(_rest("n_a"), _rest("n_b"))) >= 3 * (F.col("n_a") + F.col("n_b")))
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -60,8 +71,8 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def bitmap(values: np.ndarray) -> bytes:
-    """Bitmap with two to four bits per shingle, a power of two long; longer ones fold onto shorter ones."""
-    width = min(max(2 * len(values) - 1, 1).bit_length(), _BITS[1])
+    """Bitmap with four to eight bits per shingle, a power of two long."""
+    width = min(max(4 * len(values) - 1, 1).bit_length(), _BITS[1])
     bits = np.zeros(1 << max(width, _BITS[0]), dtype=bool)
     bits[values & np.uint64(len(bits) - 1)] = True
     return np.packbits(bits, bitorder="little").tobytes()
@@ -116,8 +127,7 @@ def front_packets(docs: DataFrame, text_col: str, ranges: int, frequent: np.ndar
                         continue
                     seen.add(v)
                     last = np.isin(values, frequent, assume_unique=True) if len(frequent) else np.zeros(n, bool)
-                    most = min(n, n - (3 * n + 3) // 4 + int(front(n)))
-                    chosen = np.concatenate([values[~last], values[last]])[:most]
+                    chosen = np.concatenate([values[~last], values[last]])[: front(n)]
                     held.append(chosen)
                     owners.append(np.full(len(chosen), v, dtype=np.int64))
                     size += len(chosen)
@@ -195,28 +205,44 @@ class Level:
         keep = (self.root[p] != self.root[q]) | (self.root[p] == -1)
         keep &= (4 * self.high[p] >= 3 * self.low[q]) & (4 * self.high[q] >= 3 * self.low[p])
         at = np.flatnonzero(keep)
-        for i in range(0, len(at), 50_000):
-            a, b = p[at[i : i + 50_000]], q[at[i : i + 50_000]]
+        stride = max(256, (1 << 22) // self.bits.shape[1])  # bounded memory for long bitmaps
+        for i in range(0, len(at), stride):
+            a, b = p[at[i : i + stride]], q[at[i : i + stride]]
             most = np.bitwise_count(self.bits[a] & self.bits[b]).sum(axis=1, dtype=np.int64) + np.minimum(self.extra[a], self.extra[b])
-            keep[at[i : i + 50_000]] = 7 * np.minimum(most, np.minimum(self.high[a], self.high[b])) >= 3 * (self.low[a] + self.low[b])
+            keep[at[i : i + stride]] = 7 * np.minimum(most, np.minimum(self.high[a], self.high[b])) >= 3 * (self.low[a] + self.low[b])
         return keep
 
 
-def _folded(maps: list[bytes]) -> np.ndarray:
-    least = min(map(len, maps))
-    out = np.empty((len(maps), least // 8), np.uint64)
+def _tiled(maps: list[bytes], width: int) -> np.ndarray:
+    """Bitmaps of one width: a shorter one is repeated, which keeps every bit that the longer one could share with it."""
+    out = np.empty((len(maps), width // 8), np.uint64)
     for i, m in enumerate(maps):
-        out[i] = np.bitwise_or.reduce(np.frombuffer(m, np.uint64).reshape(-1, least // 8), axis=0)
+        out[i] = np.tile(np.frombuffer(m, np.uint64), width // len(m))
     return out
 
 
 def dual_traversal(v: np.ndarray, n: np.ndarray, maps: list[bytes], root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of different components that the bounds leave; leaves are ordered by component and size."""
+    """Pairs of different components that the bounds leave, from one tree for every two neighbouring bitmap widths.
+
+    Sets of sizes that can link have the same width or neighbouring ones.
+    """
+    widths, found = np.array([len(m) for m in maps]), []
+    counts = np.array([int(np.bitwise_count(np.frombuffer(m, np.uint64)).sum()) for m in maps], dtype=np.int64)
+    for width in np.unique(widths):
+        chosen = np.flatnonzero((widths == width) | (widths == 2 * width))
+        if len(chosen) > 1:
+            top = int(widths[chosen].max())
+            found.append(np.stack(_traversed(v[chosen], n[chosen], _tiled([maps[i] for i in chosen], top), counts[chosen], root[chosen]), axis=1))
+    pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+    return pairs[:, 0], pairs[:, 1]
+
+
+def _traversed(v: np.ndarray, n: np.ndarray, bits: np.ndarray, counts: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One tree against itself; leaves are ordered by component and size."""
     codes = np.unique(root, return_inverse=True)[1]
     order = np.lexsort((v, n, codes))
-    v, n, codes = v[order], n[order], codes[order]
-    bits = _folded([maps[i] for i in order])
-    levels = [Level(bits, n, n, n - np.bitwise_count(bits).sum(axis=1, dtype=np.int64), codes)]
+    v, n, codes, extra = v[order], n[order], codes[order], (n - counts)[order]
+    levels = [Level(bits[order], n, n, extra, codes)]
     while len(levels[-1].low) > FAN:
         levels.append(levels[-1].above())
     top = np.arange(len(levels[-1].low))
@@ -248,17 +274,38 @@ def dual_traversal(v: np.ndarray, n: np.ndarray, maps: list[bytes], root: np.nda
 
 
 def tree_pairs(members: DataFrame) -> DataFrame:
-    """(block, v, n, bits, root) -> candidate pairs (a, b) across components, from one tree per block or pair of slices."""
+    """(block, c, v, n, bits, root) -> (a, b, n_a, n_b, c): pairs across components that the trees leave, c summed over blocks.
+
+    A pair's bounds are the same in every block, so it comes out of all blocks it is in and c is its exact count there.
+    """
     slices = members.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / SLICE).cast("int").alias("slices"), F.count_distinct("root").alias("roots"))
     dealt = members.join(slices.where("roots > 1").drop("roots"), "block").withColumn("own", F.pmod(F.xxhash64("v"), F.col("slices")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("slices") - 1))
-    dealt = dealt.select("*", other.alias("other")).select("block", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "v", "n", "bits", "root")
+    dealt = dealt.select("*", other.alias("other")).select("block", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "c", "v", "n", "bits", "root")
 
     def traverse(group: pd.DataFrame) -> pd.DataFrame:
         a, b = dual_traversal(group["v"].to_numpy(), group["n"].to_numpy(), list(group["bits"]), group["root"].to_numpy())
-        return pd.DataFrame({"a": a, "b": b})
-
-    return dealt.groupBy("block", "i", "j").applyInPandas(traverse, "a long, b long").distinct()
+        n = group.drop_duplicates("v").set_index("v")["n"]
+        out = pd.DataFrame({"a": a, "b": b, "n_a": n.loc[a].to_numpy(), "n_b": n.loc[b].to_numpy(), "c": group["c"].iloc[0]})
+        # a pair inside one slice belongs to that slice alone
+        own = group.drop_duplicates("v").set_index("v")["own"]
+        x, y = own.loc[a].to_numpy(), own.loc[b].to_numpy()
+        return out[(np.minimum(x, y) == group["i"].iloc[0]) & (np.maximum(x, y) == group["j"].iloc[0])]
+
+    found = dealt.groupBy("block", "i", "j").applyInPandas(traverse, "a long, b long, n_a long, n_b long, c long")
+    return found.groupBy("a", "b", "n_a", "n_b").agg(F.sum("c").alias("c"))
+
+
+def _stars(members: DataFrame, facts: DataFrame) -> DataFrame:
+    """(a, b): every member of a large block and the centre it shares most with, the vertex whose front is shared most for its size."""
+    ranked = members.join(facts.select("v", "n", "large"), "v").select("block", "c", "v", (F.col("large") / F.col("n")).alias("weight"))
+    centres = ranked.groupBy("block").agg(F.max_by("v", F.struct("weight", "v")).alias("centre"))
+    near = members.join(centres, "block").where("v <> centre").groupBy("v", "centre").agg(F.sum("c").alias("c"))
+    near = near.groupBy("v").agg(F.max_by("centre", F.struct("c", "centre")).alias("centre"))
+    side = {x: facts.select(*[F.col(c).alias(f"{c}_{x}") for c in facts.columns]) for x in "ab"}
+    near = near.select(F.least("v", "centre").alias("a"), F.greatest("v", "centre").alias("b"))
+    near = near.join(side["a"], F.col("a") == F.col("v_a")).join(side["b"], F.col("b") == F.col("v_b"))
+    return near.where(_reaches(F.least("large_a", "large_b") + F.least("small_a", "small_b"))).select("a", "b").distinct()
 
 
 # ---- the join -------------------------------------------------------------------------------------------------------
@@ -276,20 +323,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     packets = front_packets(docs, text_col, ranges, frequent)
     shared = stage(packets.groupBy("range").applyInPandas(_shared, "large boolean, a long, b long, c long"), "shared")
 
-    need = F.greatest(F.lit(1), F.floor(F.col("n") / 20))
+    pairs = stage(shared.where("NOT large").groupBy("a", "b").agg(F.sum("c").alias("c")), "small-pairs")
     members = shared.where("large").groupBy(F.col("a").alias("block"), F.col("b").alias("v")).agg(F.sum("c").alias("c"))
-    large = members.groupBy("v").agg(F.sum("c").alias("large"))
-    facts = sets.join(large, "v", "left").select("v", "n", need.alias("need"), F.coalesce("large", F.lit(0)).alias("large"))
+    large = members.select("v", "c").groupBy("v").agg(F.sum("c").alias("large"))
+    small = pairs.select(F.explode(F.array("a", "b")).alias("v"), "c").groupBy("v").agg(F.sum("c").alias("small"))
+    facts = sets.select("v", "n").join(large.join(small, "v", "full"), "v")
+    facts = stage(facts.select("v", "n", F.coalesce("large", F.lit(0)).alias("large"), F.coalesce("small", F.lit(0)).alias("small")), "facts")
     side = {x: facts.select(*[F.col(c).alias(f"{c}_{x}") for c in facts.columns]) for x in "ab"}
-    pairs = shared.where("NOT large").groupBy("a", "b").agg(F.sum("c").alias("c"))
-    pairs = pairs.join(side["a"], F.col("a") == F.col("v_a")).join(side["b"], F.col("b") == F.col("v_b"))
-    can = (4 * F.least("n_a", "n_b") >= 3 * F.greatest("n_a", "n_b")) & (F.col("c") + F.least("large_a", "large_b") >= F.least("need_a", "need_b"))
-    pairs = pairs.where(can).select("a", "b")
+    counted = pairs.join(side["a"], F.col("a") == F.col("v_a")).join(side["b"], F.col("b") == F.col("v_b"))
+    direct = counted.where(_reaches(F.col("c") + F.least("large_a", "large_b"))).select("a", "b")
 
-    centres = members.groupBy("block").agg(F.min("v").alias("centre"))
-    stars = members.join(centres, "block").where("v <> centre").groupBy("v", "centre").agg(F.sum("c").alias("c"))
-    stars = stars.groupBy("v").agg(F.max_by("centre", F.struct("c", -F.col("centre"))).alias("centre")).select(F.col("centre").alias("a"), F.col("v").alias("b"))
-    first = stage(pairs.union(stars).distinct(), "first-pairs")
+    # a vertex whose front shingles are too seldom shared for any partner leaves the large blocks
+    able = facts.where((F.col("large") > 0) & (7 * (F.col("large") + F.col("small") + _rest("n")) >= 3 * (F.col("n") + F.ceil(0.75 * F.col("n")))))
+    members = stage(members.join(able.select("v"), "v", "left_semi"), "members")
+    first = stage(direct.union(_stars(members, facts)).distinct(), "first-pairs")
 
     live = first.select(F.col("a").alias("v")).union(first.select("b")).union(members.select("v")).distinct()
     live = stage(sets.join(live, "v", "left_semi").select("v", "own.oa", "own.ob"), "live")
@@ -299,12 +346,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = stage(verified(first, texts), "first-links")
 
     roots = components(links)
-    known = members.select("block", "v").join(roots, "v", "left").select("block", "v", F.coalesce("root", "v").alias("root"))
+    known = members.join(roots, "v", "left").select("block", "c", "v", F.coalesce("root", "v").alias("root"))
     open_blocks = stage(known.groupBy("block").agg(F.count_distinct("root").alias("roots")).where("roots > 1").select("block"), "open-blocks")
     inside = stage(known.join(open_blocks, "block", "left_semi"), "open-members")
     signed = stage(_signatures(texts.join(inside.select("v").distinct(), "v", "left_semi")), "signatures")
-    second = tree_pairs(inside.join(signed, "v")).join(first, ["a", "b"], "left_anti")
-    more = stage(verified(stage(second, "second-pairs"), texts), "second-links")
+    second = tree_pairs(inside.join(signed, "v")).join(pairs.withColumnRenamed("c", "beside"), ["a", "b"], "left")
+    second = second.where(_reaches(F.col("c") + F.coalesce("beside", F.lit(0)))).join(first, ["a", "b"], "left_anti")
+    more = stage(verified(stage(second.select("a", "b"), "second-pairs"), texts), "second-links")
     roots = components(links.union(more))
 
     placed = sets.join(roots, "v", "left").select("v", "low", F.coalesce("root", "v").alias("root"))
