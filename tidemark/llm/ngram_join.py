@@ -227,10 +227,10 @@ def dual_traversal(v: np.ndarray, n: np.ndarray, maps: list[bytes], root: np.nda
     Sets of sizes that can link have the same width or neighbouring ones.
     """
     widths, found = np.array([len(m) for m in maps]), []
-    counts = np.array([int(np.bitwise_count(np.frombuffer(m, np.uint64)).sum()) for m in maps], dtype=np.int64)
+    counts = np.fromiter((int.from_bytes(m, "little").bit_count() for m in maps), np.int64, len(maps))
     for width in np.unique(widths):
         chosen = np.flatnonzero((widths == width) | (widths == 2 * width))
-        if len(chosen) > 1:
+        if len(np.unique(root[chosen])) > 1:
             top = int(widths[chosen].max())
             found.append(np.stack(_traversed(v[chosen], n[chosen], _tiled([maps[i] for i in chosen], top), counts[chosen], root[chosen]), axis=1))
     pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
@@ -284,13 +284,14 @@ def tree_pairs(members: DataFrame) -> DataFrame:
     dealt = dealt.select("*", other.alias("other")).select("block", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "c", "v", "n", "bits", "root")
 
     def traverse(group: pd.DataFrame) -> pd.DataFrame:
-        a, b = dual_traversal(group["v"].to_numpy(), group["n"].to_numpy(), list(group["bits"]), group["root"].to_numpy())
-        n = group.drop_duplicates("v").set_index("v")["n"]
-        out = pd.DataFrame({"a": a, "b": b, "n_a": n.loc[a].to_numpy(), "n_b": n.loc[b].to_numpy(), "c": group["c"].iloc[0]})
+        v, n, own = (group[x].to_numpy() for x in ("v", "n", "own"))
+        a, b = dual_traversal(v, n, list(group["bits"]), group["root"].to_numpy())
+        order = np.argsort(v)
+        x, y = (order[np.searchsorted(v, z, sorter=order)] for z in (a, b))
         # a pair inside one slice belongs to that slice alone
-        own = group.drop_duplicates("v").set_index("v")["own"]
-        x, y = own.loc[a].to_numpy(), own.loc[b].to_numpy()
-        return out[(np.minimum(x, y) == group["i"].iloc[0]) & (np.maximum(x, y) == group["j"].iloc[0])]
+        here = (np.minimum(own[x], own[y]) == group["i"].iat[0]) & (np.maximum(own[x], own[y]) == group["j"].iat[0])
+        x, y = x[here], y[here]
+        return pd.DataFrame({"a": v[x], "b": v[y], "n_a": n[x], "n_b": n[y], "c": group["c"].iat[0]})
 
     found = dealt.groupBy("block", "i", "j").applyInPandas(traverse, "a long, b long, n_a long, n_b long, c long")
     return found.groupBy("a", "b", "n_a", "n_b").agg(F.sum("c").alias("c"))
