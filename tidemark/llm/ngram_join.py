@@ -229,6 +229,9 @@ def dual_traversal(v: np.ndarray, n: np.ndarray, maps: list[bytes], root: np.nda
     widths, found = np.array([len(m) for m in maps]), []
     counts = np.fromiter((int.from_bytes(m, "little").bit_count() for m in maps), np.int64, len(maps))
     for width in np.unique(widths):
+        wider = (widths == 2 * width).any()
+        if not wider and (2 * widths == width).any():
+            continue  # the tree of the width below held these already
         chosen = np.flatnonzero((widths == width) | (widths == 2 * width))
         if len(np.unique(root[chosen])) > 1:
             top = int(widths[chosen].max())
