@@ -37,7 +37,7 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def piece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as vocabulary piece ids, with the score and its distance to the second best segmentation."""
+    """Every document as vocabulary piece ids, with the N best segmentations ranked by score."""
     import public_tokenizers
 
     return pieces.encoded(docs, public_tokenizers.path("piece_bpe_32k.model"), [F.col("doc_id"), F.col("lang"), F.col("source")])

@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tidemark.llm import classifier, decontaminate, line_dedup, main_text, ngram_join, pieces, pii, quality, sharding, shingles, token_cache
 from tidemark.llm.components import components
 
@@ -370,6 +371,39 @@ def test_encoding_round_trip(docs, empty, model_path, monkeypatch):
     assert pieces.encoded(empty, model_path, [F.col("doc_id")]).count() == 0
 
 
+def test_queries_return_ranked_lists(spark, sf, model_path):
+    from tidemark.llm import registry
+
+    model = pieces.vocabulary(model_path)
+    text = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    few = spark.read.parquet(f"{sf}/documents.parquet").limit(20)
+    last = corpus_pipeline.STAGES[-1][1](spark, few, sf)
+    for out in (registry.op8_piece_lattice(spark, sf), last):
+        rows = out.collect()
+        assert len(rows) == (len(text) if out is not last else 20)
+        for r in rows:
+            lists = [tuple(x["ids"]) for x in r["ranked"]]
+            assert lists[0] == tuple(r["ids"]) and len(set(lists)) == len(lists) == (pieces.N_BEST if r["n_pieces"] > 20 else len(lists))
+            assert [x["score"] for x in r["ranked"]] == sorted((x["score"] for x in r["ranked"]), reverse=True)
+            assert r["round_trip"] and all(model.decode(x) == text[r["doc_id"]] for x in lists)
+            assert r["margin"] is None or r["margin"] == pytest.approx(r["ranked"][0]["score"] - r["ranked"][1]["score"])
+
+
+def test_ranked_lists_of_ties_and_wrong_ids(model_path, monkeypatch):
+    model = pieces.Pieces(model_path)
+    for text in ("x" * 3000, "a a a a a", "=" * 500 + " the theandio"):
+        lists = model.segmentations(text, 4)
+        assert len({tuple(ids) for _, ids in lists}) == 4 and all(model.decode(ids) == text for _, ids in lists)
+        whole = [f for f, _ in model.ranked(text, 4)]
+        monkeypatch.setattr(pieces, "STRIDE", 50)
+        assert [f for f, _ in model.ranked(text, 4)] == whole
+        monkeypatch.undo()
+    flat = model.segmentations("right", 1)[0][1]
+    ends = np.array([len(flat)])
+    values = pieces.pa.array(flat, pieces.pa.int32())
+    assert model.spell(["right"], [1], ends, values) == [True] and model.spell(["wrong"], [1], ends, values) == [False]
+
+
 # ---- 9 personal data ------------------------------------------------------------------------------------------------
 
 RULES = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),

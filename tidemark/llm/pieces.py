@@ -72,7 +72,9 @@ class Pieces:
             for c in text:
                 node = node.setdefault(c, {})
             node[0] = found
-        self.known = _Known(self._best)
+        self.known = _Known(self._best, REMEMBERED)
+        self.listed: dict[int, _Known] = {}
+        self._table = pa.array(self.spelled, pa.large_binary())
         # marks that follow a letter or digit in no piece: the lattice splits in front of a run of them
         before: dict[str, set[str]] = {}
         for p in self.scores:
@@ -138,8 +140,8 @@ class Pieces:
                     gap[j] = best[j] - value
         return best, gap, last
 
-    def _best(self, part: str) -> tuple[bytes, float, float, bool]:
-        """(piece ids as 16-bit words, score, loss of the second best path, whether they spell the part)."""
+    def _best(self, part: str) -> tuple[bytes, float, float]:
+        """(piece ids as 16-bit words, score, loss of the second best path)."""
         best, gap, last = self._forward(part)
         at, ids, loss = len(part), [], np.inf
         while at:
@@ -151,19 +153,18 @@ class Pieces:
             else:
                 ids.extend(reversed(piece))
         ids.reverse()
-        spells = b"".join([self.spelled[i] for i in ids]) == part.encode("utf-8", "surrogatepass")
-        return struct.pack(f"<{len(ids)}H", *ids), best[-1], loss, spells
+        return struct.pack(f"<{len(ids)}H", *ids), best[-1], loss
 
     def n_best(self, part: str, n: int) -> list[tuple[float, list[int]]]:
-        """Backward A* over one part: (score, ids), best first."""
+        """Backward A* over one part: (score, ids), best first. Of equal paths the one nearest to the start is grown first."""
         best, _, _ = self._forward(part)
         into: list[list] = [[] for _ in range(len(part) + 1)]
         for i in range(len(part)):
             for j, score, ids in self._arcs(part, i):
                 into[j].append((i, score, ids))
-        heap, out, tick = [(-best[-1], 0, len(part), 0.0, None)], [], 0
+        heap, out, tick = [(-best[-1], len(part), 0, 0.0, None)], [], 0
         while heap and len(out) < n:
-            _, _, node, suffix, path = heapq.heappop(heap)
+            _, node, _, suffix, path = heapq.heappop(heap)
             if node == 0:
                 ids = []
                 while path:
@@ -173,61 +174,96 @@ class Pieces:
                 continue
             for i, score, ids in into[node]:
                 tick += 1
-                heapq.heappush(heap, (-(suffix + score + best[i]), tick, i, suffix + score, (ids, path)))
+                heapq.heappush(heap, (-(suffix + score + best[i]), i, tick, suffix + score, (ids, path)))
         return out
 
-    def segmentations(self, text: str, n: int) -> list[tuple[float, list[int]]]:
-        """The N best segmentations of a text, best first."""
-        if not text:
-            return [(0.0, [])]
-        parts = self.parts(" " + text)
-        found = [self.known[p] for p in parts]
-        score = sum(f[1] for f in found)
-        open_parts = heapq.nsmallest(n - 1, (i for i, f in enumerate(found) if f[2] < np.inf), key=lambda i: (found[i][2], i))
-        choices: list[tuple[float, dict[int, list[int]]]] = [(0.0, {})]
-        for i in open_parts:
-            ways = self.n_best(parts[i], n)
-            mixed = [(loss + ways[0][0] - s, chosen | ({i: ids} if r else {})) for loss, chosen in choices for r, (s, ids) in enumerate(ways)]
-            choices = sorted(mixed, key=lambda c: c[0])[:n]
-        plain = [np.frombuffer(f[0], dtype="<u2").tolist() for f in found]
-        return [(score - loss, [x for i, ids in enumerate(plain) for x in chosen.get(i, ids)]) for loss, chosen in choices]
+    def _ways(self, part: str, n: int) -> list[tuple[float, bytes]]:
+        """(loss, ids as 16-bit words) of the N best paths of a part; the first is the remembered one, also among equals."""
+        flat, score, _ = self.known[part]
+        others = [(score - s, struct.pack(f"<{len(ids)}H", *ids)) for s, ids in self.n_best(part, n)]
+        return [(0.0, flat), *(w for w in others if w[1] != flat)][:n]
 
-    def decode(self, ids) -> str:
-        spelled = self.spelled
-        return b"".join([spelled[i] for i in ids])[1:].decode("utf-8", "surrogatepass")
-
-    def encode(self, text: str) -> tuple[bytes, float, float, bool]:
-        """Of a whole text: ids as 16-bit words, score, loss of the second best segmentation, whether the ids spell it."""
-        if not text:
-            return b"", 0.0, np.inf, True
-        text, at, flat, score, loss, spells = " " + text, 0, [], 0.0, np.inf, True
+    def _strides(self, text: str) -> Iterator[list[str]]:
+        """Parts of a text that already starts with its blank, at most about STRIDE characters at a time."""
+        at = 0
         while at < len(text):
             end = at + STRIDE
             if end < len(text):
                 cut = max(text.rfind(" ", at + 1, end), text.rfind("\n", at + 1, end))
                 further = None if cut > 0 else _CUT.search(text, end)
                 end = cut if cut > 0 else further.start() if further else len(text)
-            parts = self.parts(text[at:end])
-            found = list(map(self.known.__getitem__, parts))
-            flat.append(b"".join(map(itemgetter(0), found)))
-            score += sum(map(itemgetter(1), found))
-            loss = min(loss, min(map(itemgetter(2), found)))
-            spells = spells and all(map(itemgetter(3), found)) and sum(map(len, parts)) == min(end, len(text)) - at
+            yield self.parts(text[at:end])
             at = end
-        return b"".join(flat), score, loss, spells
+
+    def ranked(self, text: str, n: int) -> list[tuple[float, bytes]]:
+        """(score, ids as 16-bit words) of the N best segmentations of a whole text, best first."""
+        if not text:
+            return [(0.0, b"")]
+        flat, size, score, near = [], 0, 0.0, []
+        for parts in self._strides(" " + text):
+            ids, scores, losses = zip(*map(self.known.__getitem__, parts), strict=True)
+            score += sum(scores)
+            # only the N - 1 parts of least loss can leave their best path in the N best
+            if n > 1:
+                loss = np.array(losses)
+                least = np.flatnonzero(loss <= np.partition(loss, n - 2)[n - 2]) if len(loss) >= n else np.arange(len(loss))
+                least = least[np.argsort(loss[least], kind="stable")][:n - 1]
+                near += [(losses[i], size + sum(map(len, ids[:i])), parts[i]) for i in least.tolist() if losses[i] < np.inf]
+            flat += ids
+            size += sum(map(len, ids))
+        whole = b"".join(flat)
+        listed = self.listed.setdefault(n, _Known(lambda part: self._ways(part, n), REMEMBERED // 8))
+        choices: list[tuple[float, list[tuple[int, int, bytes]]]] = [(0.0, [])]
+        for _, at, part in sorted(near, key=itemgetter(0, 1))[:n - 1]:
+            first, *ways = listed[part]
+            end = at + len(first[1])
+            mixed = choices + [(loss + more, [*chosen, (at, end, ids)]) for loss, chosen in choices for more, ids in ways]
+            choices = sorted(mixed, key=itemgetter(0))[:n]
+        out = []
+        for loss, chosen in choices:
+            at, bits = 0, []
+            for start, end, ids in sorted(chosen):
+                bits += whole[at:start], ids
+                at = end
+            out.append((score - loss, b"".join([*bits, whole[at:]]) if bits else whole))
+        return out
+
+    def segmentations(self, text: str, n: int) -> list[tuple[float, list[int]]]:
+        """The N best segmentations of a text, best first."""
+        return [(score, np.frombuffer(ids, dtype="<u2").tolist()) for score, ids in self.ranked(text, n)]
+
+    def decode(self, ids) -> str:
+        spelled = self.spelled
+        return b"".join([spelled[i] for i in ids])[1:].decode("utf-8", "surrogatepass")
+
+    def spell(self, texts: list[str], lists: list[int], ends: np.ndarray, flat: pa.Array) -> list[bool]:
+        """Whether all id lists of a text decode to it; ``lists`` per text, ``ends`` of the lists in ``flat``."""
+        got = self._table.take(flat)
+        at = np.frombuffer(got.buffers()[1], dtype=np.int64, count=len(got) + 1)[np.concatenate([[0], ends])].tolist()
+        data, k, out = memoryview(got.buffers()[2] or b"").cast("B"), 0, []
+        for text, n in zip(texts, lists, strict=True):
+            want = (" " + text).encode("utf-8", "surrogatepass") if text else b""
+            out.append(all(data[at[i]:at[i + 1]] == want for i in range(k, k + n)))
+            k += n
+        return out
+
+    def encode(self, text: str) -> tuple[bytes, float, float, bool]:
+        """Of a whole text: ids as 16-bit words, score, loss of the second best segmentation, whether the ids decode to it."""
+        (score, ids), *more = self.ranked(text, 2)
+        return ids, score, score - more[0][0] if more else np.inf, self.decode(np.frombuffer(ids, dtype="<u2")) == text
 
 
 class _Known(dict):
     """Remembered parts in two generations: when the young one is full it becomes the old one."""
 
-    def __init__(self, work) -> None:
+    def __init__(self, work, most: int) -> None:
         super().__init__()
-        self._work, self._old = work, {}
+        self._work, self._most, self._old = work, most, {}
 
     def __missing__(self, part: str):
         found = self._old.get(part) or self._work(part)
         if len(part) <= 64:
-            if len(self) >= REMEMBERED:
+            if len(self) >= self._most:
                 self._old = dict(self)
                 self.clear()
             self[part] = found
@@ -257,41 +293,42 @@ def _chunks(texts: pa.Array, most: int) -> Iterator[tuple[int, list[str]]]:
         yield start, held
 
 
-def encoded(docs: DataFrame, path: str, keep: list[Column], text_col: str = "text") -> DataFrame:
-    """keep..., ids (best segmentation), n_pieces, score, margin to the second best (null if there is none), round_trip."""
+def encoded(docs: DataFrame, path: str, keep: list[Column], text_col: str = "text", n: int = N_BEST) -> DataFrame:
+    """keep..., ids (best segmentation), n_pieces, score, margin to the second best (null if there is none), round_trip (all
+    lists decode to the text), ranked: array of (score, ids), the N best segmentations of every text, best first."""
     rows = docs.select(*keep, body(F.col(text_col)).alias("whole text"))
     out = T.StructType(rows.drop("whole text").schema.fields + T._parse_datatype_string(
-        "ids array<int>, n_pieces long, score double, margin double, round_trip boolean").fields)
+        "ids array<int>, n_pieces long, score double, margin double, round_trip boolean, ranked array<struct<score:double,ids:array<int>>>").fields)
+
+    def words(lists: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+        ends = np.cumsum([len(x) // 2 for x in lists], dtype=np.int64)
+        return pa.array(np.frombuffer(b"".join(lists), dtype="<u2"), pa.uint16()).cast(pa.int32()), ends
+
+    def listed(values: pa.Array, ends) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), values)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = vocabulary(path)
         for batch in batches:
-            for start, texts in _chunks(batch.column(batch.num_columns - 1), 2 * STRIDE):
-                ids, score, loss, spells = zip(*map(model.encode, texts), strict=True)
-                sizes = np.array([len(x) // 2 for x in ids], dtype=np.int64)
-                flat = pa.array(np.frombuffer(b"".join(ids), dtype="<u2"), pa.uint16()).cast(pa.int32())
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), flat)
+            for start, texts in _chunks(batch.column(batch.num_columns - 1), STRIDE):
+                ranked = [model.ranked(t, n) for t in texts]
+                counts = list(map(len, ranked))
+                every, ends = words([ids for r in ranked for _, ids in r])
+                best, best_ends = words([r[0][1] for r in ranked])
+                scores = pa.array([s for r in ranked for s, _ in r], pa.float64())
+                lists = pa.StructArray.from_arrays([scores, listed(every, ends)], ["score", "ids"])
                 yield pa.RecordBatch.from_arrays(
-                    [*(c.slice(start, len(texts)) for c in batch.columns[:-1]), lists, pa.array(sizes), pa.array(score),
-                     pa.array(np.array(loss), mask=~np.isfinite(loss)), pa.array(spells)], [f.name for f in out])
+                    [*(c.slice(start, len(texts)) for c in batch.columns[:-1]), listed(best, best_ends), pa.array(np.diff(best_ends, prepend=0)),
+                     pa.array([r[0][0] for r in ranked], pa.float64()), pa.array([r[0][0] - r[1][0] if len(r) > 1 else None for r in ranked], pa.float64()),
+                     pa.array(model.spell(texts, counts, ends, every)), listed(lists, np.cumsum(counts))], [f.name for f in out])
 
     return rows.mapInArrow(run, out)
 
 
 def n_best(docs: DataFrame, path: str, keep: list[Column], n: int = N_BEST, text_col: str = "text") -> DataFrame:
     """keep..., ranked: array of (score, ids), the N best segmentations of every text, best first."""
-    rows = docs.select(*keep, body(F.col(text_col)).alias("whole text"))
-    out = T.StructType(rows.drop("whole text").schema.fields + T._parse_datatype_string("ranked array<struct<score:double,ids:array<int>>>").fields)
-    kind = pa.list_(pa.struct([("score", pa.float64()), ("ids", pa.list_(pa.int32()))]))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = vocabulary(path)
-        for batch in batches:
-            for start, texts in _chunks(batch.column(batch.num_columns - 1), STRIDE):
-                ranked = [[{"score": s, "ids": ids} for s, ids in model.segmentations(t, n)] for t in texts]
-                yield pa.RecordBatch.from_arrays([*(c.slice(start, len(texts)) for c in batch.columns[:-1]), pa.array(ranked, kind)], [f.name for f in out])
-
-    return rows.mapInArrow(run, out)
+    out = encoded(docs, path, keep, text_col, n)
+    return out.select(*out.columns[:len(keep)], "ranked")
 
 
 def decoded(rows: DataFrame, path: str, keep: list[Column], ids_col: str = "ids") -> DataFrame:
