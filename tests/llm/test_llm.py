@@ -446,6 +446,39 @@ def test_disclosing_terms(spark):
     assert clean[0] == "  [NUMBER] at [EMAIL] about the plan" and clean[10] == rows[10][1] and clean[70] is None
 
 
+def _terms_found(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r["row"]: [(s["start"], s["value"]) for s in r["spans"] if s["kind"] == "term"] for r in pii.found_spans(df, F.col("doc_id")).collect()}
+    assert len(out) == len(texts)
+    return out
+
+
+def test_disclosing_terms_of_rare_entities(spark):
+    # in a large corpus the share of a pair met once or twice reaches the threshold; that of a common word does not
+    texts = ["plain words here"] * 3000 + ["plain words Quux solo@corp.example.org", "Rara here duo@corp.example.org", "Rara words duo@corp.example.org"]
+    out = _terms_found(spark, texts)
+    assert (out[3000], out[3001], out[3002], out[0]) == ([(12, "Quux")], [(0, "Rara")], [(0, "Rara")], [])
+
+
+def test_disclosing_terms_in_whole_texts(spark):
+    far = "plain words " * 30
+    texts = ["plain words"] * 3000 + [f"Zorblatt {far}a{i // 8}@b.org {far}zorblatt" for i in range(8)] + ["words Zorblatt plain", "+44 20 7946 0958 ZORBLATT"]
+    out = _terms_found(spark, texts)
+    assert all([v for _, v in out[i]] == ["Zorblatt", "zorblatt"] for i in range(3000, 3008))
+    assert (out[3008], out[3009], out[0]) == ([(6, "Zorblatt")], [(17, "ZORBLATT")], [])
+
+
+def test_located_and_masked_terms(spark, monkeypatch):
+    monkeypatch.setattr(pii, "BLOCK", 3)
+    rng = random.Random(5)
+    bits = ["a@b.cd", "+1 234 567 8901", "abc", "xyz1", " ", "-", "4111111111111111", "é\U0001F600", "10.0.0.1", "zz"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(14))) for _ in range(300)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").withColumn("spans", pii.base_spans(F.col("text")))
+    for r in df.select("text", "spans", pii.located(pii._free(F.col("text"), F.col("spans")), pii.FREE_TERM).alias("got")).collect():
+        want = [(m.start(), m.end(), m[0]) for m in re.finditer(r"[^\W_]{3,}", r["text"]) if not any(s["start"] < m.end() and m.start() < s["end"] for s in r["spans"])]
+        assert [tuple(x) for x in r["got"]] == want, r["text"]
+
+
 def test_pii_awkward(docs, empty):
     assert pii.sanitised(docs).columns == docs.columns and pii.sanitised(docs).count() == docs.count()
     assert pii.found_spans(empty, F.col("doc_id")).count() == 0

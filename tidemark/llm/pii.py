@@ -2,10 +2,12 @@
 
 Base spans are the leftmost non-overlapping matches of four patterns on the whole text, kept if their value check holds
 (address parts up to 255, Luhn sum, number of digits). The entities found are protected. A term (word of three letters or
-digits at least) near an entity discloses it by the share of the entity's information that seeing the term yields over the
-whole corpus: ``log2(n(t,e) * N / (n(t) * n(e))) / log2(N / n(e))``, n in documents. A term at or above ``THRESHOLD`` that
-meets the entity in ``SUPPORT`` documents at least becomes a span of its own beside that entity. In the sanitised text base
-spans and numbers are generalised to a tag and other terms are removed.
+digits at least, outside all base spans) discloses an entity by the share of the entity's information that seeing the term
+anywhere in a text yields: ``log2(p(e|t) / p(e)) / log2(1 / p(e))`` with ``p(e) = n(e) / N`` and, n in documents,
+``p(e|t) = (n(t,e) + PRIOR * p(e)) / (n(t) + PRIOR)``: every term has PRIOR documents of mere chance besides its own, which
+weigh on rare pairs and vanish for frequent ones. All pairs are weighed; a term at or above ``THRESHOLD`` for any entity
+becomes a span wherever it occurs, in texts without the entity too. In the sanitised text base spans and numbers are
+generalised to a tag and other terms are removed.
 
 Positions are code points, end exclusive. Null and empty texts have no spans. Repeated rows count as documents and are
 treated alike; an entity in every document carries no information and is disclosed by nothing. Other columns pass.
@@ -28,27 +30,39 @@ KINDS = {
 }
 RANKS = {k: i for i, k in enumerate(KINDS)} | {"term": 4}
 TERM = r"[\p{L}\p{N}]{3,}"
-CONTEXT = 80
-SUPPORT = 3
 THRESHOLD = 0.9
+PRIOR = 1.0
+#: Stands for a letter or digit of a base span; a term that one touches is part of the span. No text holds it (a text's own is blanked).
+_TAKEN = "\uFFFF"
+FREE_TERM = rf"(?<![\p{{L}}\p{{N}}{_TAKEN}])[\p{{L}}\p{{N}}]{{3,}}+(?!{_TAKEN})"
+#: Matches whose places are added up in one go; blocks of them are joined afterwards, so long texts stay cheap.
+BLOCK = 512
 BROADCAST_TERMS = 200_000
 
 _SPAN = "array<struct<start:int,rank:int,end:int,kind:string,value:string>>"
 
 
-def located(text: Column, pattern: str, offset: Column | int = 0) -> Column:
+def located(text: Column, pattern: str) -> Column:
     """[(start, end, value)] of all matches: the pieces between matches give the places."""
-    def walk(parts: Column) -> Column:
+    def within(parts: Column) -> Column:
         zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
         def step(acc: Column, p: Column) -> Column:
             start = acc["at"] + F.length(p["gap"])
             end = start + F.coalesce(F.length(p["hit"]), F.lit(0))
-            span = F.struct((start + offset).cast("int").alias("start"), (end + offset).cast("int").alias("end"), p["hit"].alias("value"))
+            span = F.struct(start.alias("start"), end.alias("end"), p["hit"].alias("value"))
             return F.struct(end.alias("at"), F.when(p["hit"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(span))).alias("out"))
-        return F.aggregate(parts, zero, step)["out"]
+        return F.aggregate(parts, zero, step)
+
+    def walk(blocks: Column) -> Column:
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<start:int,end:int,value:string>>>").alias("out"))
+        def step(acc: Column, b: Column) -> Column:
+            moved = F.transform(b["out"], lambda x: F.struct((x["start"] + acc["at"]).alias("start"), (x["end"] + acc["at"]).alias("end"), x["value"]))
+            return F.struct((acc["at"] + b["at"]).alias("at"), F.concat(acc["out"], F.array(moved)).alias("out"))
+        return F.flatten(F.aggregate(blocks, zero, step)["out"])
 
     gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    return walk(F.zip_with(gaps, hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit"))))
+    parts = F.zip_with(gaps, hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
+    return let(parts, lambda ps: walk(F.transform(F.sequence(F.lit(1), F.greatest(F.size(ps), F.lit(1)), F.lit(BLOCK)), lambda i: within(F.slice(ps, i, F.lit(BLOCK))))))
 
 
 def _digits(value: Column) -> Column:
@@ -85,15 +99,19 @@ def base_spans(text: Column) -> Column:
     return F.sort_array(F.concat(*[_spans_of(kind, text) for kind in KINDS]))
 
 
-def _near_terms(text: Column, span: Column, spans: Column) -> Column:
-    """Whole terms up to CONTEXT code points on either side of a span that no base span touches."""
-    left_at = F.greatest(span["start"] - CONTEXT, F.lit(0))
-    left = F.substring(text, left_at + 1, span["start"] - left_at)
-    right = F.substring(text, span["end"] + 1, F.lit(CONTEXT))
-    # a term that the edge of the context cuts is left out
-    left_terms = F.filter(located(left, TERM, left_at), lambda t: (t["start"] > left_at) | (left_at == 0))
-    right_terms = F.filter(located(right, TERM, span["end"]), lambda t: (t["end"] < span["end"] + CONTEXT) | (t["end"] == F.length(text)))
-    return F.filter(F.concat(left_terms, right_terms), lambda t: ~F.exists(spans, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
+def _free(text: Column, spans: Column) -> Column:
+    """The text with the characters of base spans masked one by one, so that places stay."""
+    def step(acc: Column, s: Column) -> Column:
+        start, end = F.greatest(acc["at"], s["start"]), F.greatest(acc["at"], s["end"])
+        masked = F.regexp_replace(F.regexp_replace(F.substring(text, start + 1, end - start), r"[^\p{L}\p{N}]", " "), r"[\p{L}\p{N}]", _TAKEN)
+        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, start - acc["at"]), masked)).alias("out"))
+
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    return let(F.aggregate(spans, zero, step), lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.lit(MANY))))
+
+
+def _terms(text: Column) -> Column:
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(FREE_TERM), F.lit(0)), F.lower))
 
 
 def with_spans(docs: DataFrame, keep: Column, text_col: str = "text") -> DataFrame:
@@ -102,31 +120,48 @@ def with_spans(docs: DataFrame, keep: Column, text_col: str = "text") -> DataFra
     return stage(rows, "base-spans")
 
 
-def disclosing_terms(docs: DataFrame, text_col: str = "text", support: int = SUPPORT, threshold: float = THRESHOLD) -> DataFrame:
+def disclosing_terms(docs: DataFrame, text_col: str = "text", threshold: float = THRESHOLD, prior: float = PRIOR) -> DataFrame:
     """(own, terms): spans of the disclosing terms of every text that has some. ``own`` stands for the text."""
-    text = body(F.col(text_col))
-    protected = docs.where(F.coalesce(F.greatest(*[F.col(text_col).rlike(r) for r in (r"@", r"[0-9](?:[\x20().-]*[0-9]){3}")]), F.lit(False)))
-    near = protected.select(row_key(F.col(text_col)).alias("own"), text.alias("text"), base_spans(text).alias("spans"))
-    near = near.select("own", F.explode_outer(F.transform("spans", lambda s: F.struct(
-        F.sha2(F.lower(s["value"]), 256).alias("entity"), _near_terms(F.col("text"), s, F.col("spans")).alias("terms")))).alias("x"))
-    near = near.where("x IS NOT NULL").select("own", "x.entity", F.explode("x.terms").alias("t"))
-    near = stage(near.select("own", "entity", F.lower("t.value").alias("term"), "t.start", "t.end", "t.value"), "near-terms")
-
-    copies = docs.groupBy(row_key(F.col(text_col)).alias("own")).agg(F.count(F.lit(1)).alias("copies"))
-    copies = stage(copies.join(near.select("own").distinct(), "own", "left_semi"), "copies")
-    once = near.select("own", "entity", "term").distinct().join(copies, "own")
-    pairs = once.groupBy("entity", "term").agg(F.sum("copies").alias("both"))
-    entities = once.select("own", "entity", "copies").distinct().groupBy("entity").agg(F.sum("copies").alias("n_entity"))
-    pairs = stage(pairs.where(F.col("both") >= support), "pairs")
-    wanted = sized(pairs.select("term").distinct(), BROADCAST_TERMS)
-    heard = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(body(F.col(text_col))), F.lit(TERM), F.lit(0)))).alias("term"))
-    spread = heard.join(wanted, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    may = F.coalesce(F.greatest(*[F.col(text_col).rlike(r) for r in (r"@", r"[0-9](?:[\x20().-]*[0-9]){3}")]), F.lit(False))
+    clear = docs.select(row_key(F.col(text_col)).alias("own"), may.alias("may"), F.translate(body(F.col(text_col)), _TAKEN, " ").alias("text"))
+    held = clear.where("may").groupBy("own").agg(F.count(F.lit(1)).alias("copies"), F.first("text").alias("text"))
+    held = held.select("own", "copies", "text", base_spans(F.col("text")).alias("spans"))
+    texts = stage(held.select("own", "copies", F.array_distinct(F.transform("spans", lambda s: F.sha2(F.lower(s["value"]), 256))).alias("entities"),
+                              _free(F.col("text"), F.col("spans")).alias("text")), "texts-with-entities")
     total = docs.count()
-    gain = F.log2(F.col("both") * F.lit(float(total)) / (F.col("n_term") * F.col("n_entity"))) / F.nullif(F.log2(F.lit(float(total)) / F.col("n_entity")), F.lit(0.0))
-    telling = pairs.join(entities, "entity").join(spread, "term").where(gain >= threshold).select("entity", "term")
-    spans = near.join(sized(stage(telling, "telling"), BROADCAST_TERMS), ["entity", "term"], "left_semi")
+    entities = texts.select("own", "copies", F.explode("entities").alias("entity"))
+    known = entities.groupBy("entity").agg(F.sum("copies").alias("n_entity"))
+    chance = F.col("n_entity") / F.lit(float(max(total, 1)))
+    # with n(t,e) = n(e) at best, a term in more documents than ``most`` cannot reach the threshold
+    most = (F.col("n_entity") + prior * chance) / F.pow(chance, F.lit(1 - threshold)) - prior
+    entities = entities.join(known.where(F.col("n_entity") < total).withColumn("most", most + 1e-6), "entity")
+
+    # n(t): texts that may hold entities are counted with their base spans masked, the others as they are
+    met = texts.select("own", "copies", (F.size("entities") > 0).alias("held"), F.explode(_terms(F.col("text"))).alias("term"))
+    met = stage(met, "terms-met")
+    others = clear.where("NOT may").select(F.explode(_terms(F.col("text"))).alias("term"))
+    spread = met.groupBy("term").agg(F.sum("copies").alias("inside"), F.max("held").alias("held")).join(
+        others.groupBy("term").agg(F.count(F.lit(1)).alias("outside")), "term", "left")
+    spread = spread.where("held").select("term", F.coalesce("outside", F.lit(0)).alias("outside"), (F.col("inside") + F.coalesce("outside", F.lit(0))).alias("n_term"))
+    spread = stage(spread, "spread")
+    rare = met.where("held").select("own", "term").join(spread, "term")
+    pairs = entities.alias("e").join(rare.alias("r"), (F.col("e.own") == F.col("r.own")) & (F.col("n_term") <= F.col("most")))
+    pairs = pairs.groupBy("entity", "term", "n_entity", "n_term", "outside").agg(F.sum("copies").alias("both"))
+    given = (F.col("both") + prior * chance) / (F.col("n_term") + prior)
+    telling = stage(pairs.where(F.log2(given / chance) / -F.log2(chance) >= threshold).select("term", "outside").distinct(), "telling")
+
+    wanted = sized(telling.select("term"), BROADCAST_TERMS)
+    abroad = sized(telling.where("outside > 0").select("term"), BROADCAST_TERMS)
+    found = clear.where("NOT may").select("own", F.explode(_terms(F.col("text"))).alias("term")).join(abroad, "term", "left_semi")
+    found = stage(found.select("own").distinct(), "texts-without-entities")
+    free = clear.where("NOT may").join(sized(found, BROADCAST_TERMS), "own", "left_semi").groupBy("own").agg(F.first("text").alias("text"))
+
+    def marked(rows: DataFrame) -> DataFrame:
+        places = rows.select("own", F.explode(located(F.col("text"), FREE_TERM)).alias("t"))
+        return places.select("own", F.lower("t.value").alias("term"), "t.start", "t.end", "t.value").join(wanted, "term", "left_semi")
+
     span = F.struct("start", F.lit(RANKS["term"]).alias("rank"), "end", F.lit("term").alias("kind"), "value")
-    return spans.groupBy("own").agg(F.collect_set(span).cast(_SPAN).alias("terms"))
+    return marked(texts.select("own", "text").unionByName(free)).groupBy("own").agg(F.collect_set(span).cast(_SPAN).alias("terms"))
 
 
 def joined_spans(spans: Column) -> Column:
