@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import classifier, decontaminate, line_dedup, main_text, ngram_join, pieces, pii, quality, sharding, token_cache
+from tidemark.llm import classifier, decontaminate, line_dedup, main_text, ngram_join, pieces, pii, quality, runs, sharding, token_cache
 from tidemark.llm.common import table
 from tidemark.llm.oracles import ORACLES
 
@@ -69,6 +69,18 @@ def op4_signature_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", runs.planted(F.col("text"), F.col("doc_id")).alias("text"))
+    found = runs.periodic_runs(docs)
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    return found.select("row.doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), "runs", "collapsed", listed.alias("listed")).select(
+        "doc_id", "n_runs", (-F.col("best.s")).alias("start"), F.col("best.length").alias("length"), (-F.col("best.p")).alias("period"),
+        F.floor(1000 * F.col("best.length") / -F.col("best.p")).cast("long").alias("exponent_milli"),
+        F.sha2(F.when(F.col("n_runs") > 0, F.concat("listed", F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -81,6 +93,7 @@ QUERIES = {
     "op7_block_rules": op7_block_rules,
     "op8_piece_lattice": op8_piece_lattice,
     "op6_nb_svm": op6_nb_svm,
+    "op13_periodic_runs": op13_periodic_runs,
     "op9_disclosure": op9_disclosure,
     "op2_spaced_seeds": op2_spaced_seeds, "op3_line_dedup": op3_line_dedup,
     "op1_best_fit_shards": op1_best_fit_shards, "op10_token_cache": op10_token_cache, "op5_quality_rules": op5_quality_rules,
