@@ -47,6 +47,27 @@ SELECT n.doc_id, n.n AS n_shingles, m.component_id FROM n JOIN (SELECT v, min(x)
 """
 
 
+COLLOCATIONS = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS r,
+  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+nn AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) + 2 - k), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS g FROM w, range(1, 5) AS x(k) WHERE len(w) >= k),
+f AS (SELECT lang, k, g, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT lang, k, g, f AS a, string_split(g, ' ') AS w FROM f WHERE k >= 2),
+cuts AS (SELECT c.*, cut, array_to_string(w[1:cut], ' ') AS lp, array_to_string(w[cut + 1:], ' ') AS rp FROM c, range(1, 4) AS x(cut) WHERE cut < k),
+s AS (SELECT cuts.*, l.f AS l, r.f AS r, (CAST(2000000 AS HUGEINT) * a) // (l.f + r.f) AS score
+      FROM cuts JOIN f l ON l.lang = cuts.lang AND l.g = lp JOIN f r ON r.lang = cuts.lang AND r.g = rp),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) = 1),
+sub AS (SELECT lang, a, w, m, unnest(range(1, k - m + 2)) AS i FROM c, range(2, 4) AS x(m) WHERE m < k),
+longer AS (SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS g, max(a) AS top FROM sub GROUP BY ALL),
+kept AS (SELECT b.* FROM b LEFT JOIN longer USING (lang, g) WHERE top IS NULL OR 100 * CAST(top AS HUGEINT) < 80 * CAST(a AS HUGEINT)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g) AS rank FROM kept)
+SELECT lang, rank, g AS phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM ranked JOIN nn USING (lang) WHERE rank <= 2000
+"""
+
+
 def _quality() -> str:
     ratio = {k: f"({top} / greatest({below}, 1))" for k, (top, below, _) in quality.RATIOS.items()}
     # the least value whose rank reaches the share, as the digests return it
@@ -81,4 +102,5 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
-ORACLES = {"op2_spaced_seeds": DECONTAMINATION, "op3_line_dedup": LINE_DEDUP, "op4_signature_trees": JACCARD, "op5_quality_rules": _quality()}
+ORACLES = {"op2_spaced_seeds": DECONTAMINATION, "op3_line_dedup": LINE_DEDUP, "op4_signature_trees": JACCARD, "op5_quality_rules": _quality(),
+           "op12_collocations": COLLOCATIONS}
