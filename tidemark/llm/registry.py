@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import classifier, decontaminate, line_dedup, main_text, ngram_join, pieces, pii, quality, runs, sharding, token_cache
+from tidemark.llm import classifier, decontaminate, line_dedup, main_text, nearest, ngram_join, phrases, pieces, pii, quality, runs, sharding, token_cache
 from tidemark.llm.common import table
 from tidemark.llm.oracles import ORACLES
 
@@ -81,6 +81,14 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("collapsed", 256).alias("collapsed_sha256"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op11_multiprobe_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -93,6 +101,8 @@ QUERIES = {
     "op7_block_rules": op7_block_rules,
     "op8_piece_lattice": op8_piece_lattice,
     "op6_nb_svm": op6_nb_svm,
+    "op11_multiprobe_search": op11_multiprobe_search,
+    "op12_collocations": op12_collocations,
     "op13_periodic_runs": op13_periodic_runs,
     "op9_disclosure": op9_disclosure,
     "op2_spaced_seeds": op2_spaced_seeds, "op3_line_dedup": op3_line_dedup,

@@ -24,14 +24,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm import shingles
-from tidemark.llm.common import MANY, let, row_key, sized, stage, words
+from tidemark.llm.common import MANY, let, row_key, stage, words
 
 #: A run has at least so many words.
 LEAST = 12
 #: Boundaries of one tile row: about so many words, and at least so many boundaries.
 TILE_WORDS, TILE_BOUNDARIES = 4096, 16
-#: Documents with runs (some 200 bytes each) up to which they are broadcast to the texts.
-BROADCAST_ROWS = 200_000
+#: Runs (some 60 bytes each with their share of the row) up to which they are broadcast to the texts.
+BROADCAST_RUNS = 1_000_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -211,7 +211,9 @@ def periodic_runs(docs: DataFrame, text: str = "text") -> DataFrame:
     tiles = keyed.select("k.a", "k.b", "text").mapInArrow(tiled, _TILES)
     dealt = tiles.dropDuplicates(["a", "b", "octave", "first"])
     runs = stage(_by_text(stitched(dealt.mapInArrow(solved, _FOUND))), "runs")
-    joined = keyed.join(sized(runs.select(F.col("a").alias("ra"), F.col("b").alias("rb"), "runs", "kept", "rest"), BROADCAST_ROWS),
+    right = runs.select(F.col("a").alias("ra"), F.col("b").alias("rb"), "runs", "kept", "rest")
+    few = (runs.agg(F.sum(F.size("runs") + F.size("kept") + 1)).first()[0] or 0) <= BROADCAST_RUNS
+    joined = keyed.join(F.broadcast(right) if few else right,
                         (F.col("k.a") == F.col("ra")) & (F.col("k.b") == F.col("rb")), "left")
     split = joined.select("row", "runs", "kept", "rest", words(F.col("text")).alias("words"))
     left = F.flatten(F.concat(F.transform("kept", lambda g: F.slice("words", (g["first"] + 1).cast("int"), g["n"].cast("int"))),
