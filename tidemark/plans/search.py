@@ -8,8 +8,10 @@ from tidemark import rules
 from tidemark.functions import text as tx
 from tidemark.operators import answers
 from tidemark.operators import retrieval as rt
+from tidemark.operators import store as st
 from tidemark.operators.ordered import top_k
 from tidemark.plans import inputs as src
+from tidemark.session import cut
 
 TOP = 5
 # default k and pool size per query language (None means no language given)
@@ -43,24 +45,29 @@ def bm25_stats(spark, d):
     return stats.terms.select("term", "df", F.round("idf", 6).alias("idf"), F.lit(round(stats.avgdl, 6)).alias("avgdl"))
 
 
-def _bm25(spark, d, k):
-    docs = src.documents(spark, d).select("doc_id", "text")
-    return rt.ranked(rt.bm25_scores(docs, src.questions(spark, d)), k)
+def _sparse(spark, d):
+    """One BM25 store over the tagged documents, and the query side of the benchmark."""
+    tokens = tx.index_tokens(F.col("text"))
+    store = st.build_sparse(src.tagged_documents(spark, d).select("doc_id", "lang", "text"), tokens)
+    return store, rt.query_terms(src.questions(spark, d), "item_id", tokens)
+
+
+def _bm25(spark, d, k, built=None):
+    store, asked = built or _sparse(spark, d)
+    return st.sparse_lists(store, asked, k)[0]
 
 
 def bm25_topk(spark, d):
     return _bm25(spark, d, TOP)
 
 
-def _bm25_by_lang(spark, d):
-    """Ranked lists per query under its own language filter and pool size."""
-    docs = src.tagged_documents(spark, d).select("doc_id", "text", "lang")
-    scored = rt.bm25_scores(docs, src.questions(spark, d), carry=("lang",))
-    asked = src.questions(spark, d).select("item_id", "query_lang")
-    both = scored.join(asked, "item_id")
-    kept = _union([
-        rt.ranked(_asked(both, lang).where(_allowed(lang)), pool(k)) for lang, k in DEFAULT_K.items()])
-    return kept.select("item_id", "doc_id", "score", "rnk")
+def _bm25_by_lang(spark, d, built=None):
+    """Ranked lists per query under its own language filter and pool size; each filter prunes the store's partitions."""
+    store, asked = built or _sparse(spark, d)
+    langs = src.questions(spark, d).select("item_id", "query_lang")
+    return _union([
+        st.sparse_lists(store, asked.join(_asked(langs, lang).select("item_id"), "item_id"), pool(k), keep=_allowed(lang))[0]
+        for lang, k in DEFAULT_K.items()]).select("item_id", "doc_id", "score", "rnk")
 
 
 def bm25_topk_lang(spark, d):
@@ -72,30 +79,42 @@ def tfidf_topk(spark, d):
 
 
 def _tfidf(spark, d, k):
-    docs = src.documents(spark, d).select("doc_id", F.concat_ws("\n", "source", "text").alias("text"))
     terms = tx.preprocess(F.col("text"))
-    scored = rt.tfidf_scores(docs, src.questions(spark, d), terms, terms, "doc_id", "item_id")
-    return rt.ranked(scored, k, floor=rules.TFIDF_FLOOR)
+    docs = src.documents(spark, d).select("doc_id", F.concat_ws("\n", "source", "text").alias("text"), F.lit(None).cast("string").alias("lang"))
+    store = st.build_sparse(docs, terms, bm25=False)
+    return st.sparse_lists(store, rt.query_terms(src.questions(spark, d), "item_id", terms), k, floor=rules.TFIDF_FLOOR)[0]
+
+
+def _dense(spark, d):
+    """One store of all vectors with the language tag of their document."""
+    tag = src.tagged_documents(spark, d).select(F.col("doc_id").alias("vec_id"), "lang")
+    return st.build_dense(src.vectors(spark, d).join(tag, "vec_id", "left"))
+
+
+def dense_ranked(spark, d, k):
+    """The k nearest vectors of every question with a positive cosine."""
+    ranked, _ = st.dense_lists(_dense(spark, d), src.question_vectors(spark, d).drop("query_lang"), k, floor=0.0)
+    return ranked.select("item_id", "vec_id", "score", "rnk")
 
 
 def dense_topk(spark, d):
-    return rt.dense_top(src.vectors(spark, d), src.question_vectors(spark, d), 20)
+    return dense_ranked(spark, d, 20)
 
 
-def _tagged_vectors(spark, d):
-    tag = src.tagged_documents(spark, d).select(F.col("doc_id").alias("vec_id"), "lang")
-    return src.vectors(spark, d).join(tag, "vec_id", "left")
+def _by_lang(cy, en, none):
+    return F.when(F.col("query_lang") == "cy", cy).when(F.col("query_lang") == "en", en).otherwise(none)
 
 
-def _dense_by_lang(spark, d):
-    v, q = _tagged_vectors(spark, d), src.question_vectors(spark, d)
-    return _union([
-        rt.dense_top(v.where(_allowed(lang)), _asked(q, lang), pool(k), positive=False)
-        for lang, k in DEFAULT_K.items()])
+def _dense_lists(spark, d):
+    """The filtered list of every query and the general one where a filter applies, from one pass over the store."""
+    keep = {"filtered": _by_lang(_allowed("cy"), _allowed("en"), F.lit(True)), "general": F.col("query_lang").isNotNull()}
+    pools = [pool(DEFAULT_K[lang]) for lang in ("cy", "en", None)]
+    return st.dense_lists(_dense(spark, d), src.question_vectors(spark, d), _by_lang(*pools), keep, max(pools))[0]
 
 
 def dense_topk_lang(spark, d):
-    return _dense_by_lang(spark, d)
+    ranked = _dense_lists(spark, d).where("list = 'filtered'").drop("list")
+    return ranked.select("item_id", "vec_id", "score", "rnk")
 
 
 def _keys(spark, d):
@@ -105,19 +124,18 @@ def _keys(spark, d):
 
 def _filled_dense(spark, d, min_fill):
     """Filtered dense lists topped up from the unfiltered ranking when under-filled."""
-    keys = _keys(spark, d)
-    filtered = _dense_by_lang(spark, d).join(keys, "vec_id").select("item_id", "key", "doc_id", "rnk")
-    v, q = _tagged_vectors(spark, d), src.question_vectors(spark, d)
-    plain = _asked(filtered.join(q.select("item_id", "query_lang"), "item_id"), None).drop("query_lang")
+    asked = src.questions(spark, d).select("item_id", "query_lang")
+    lists = cut(_dense_lists(spark, d)).join(_keys(spark, d), "vec_id").join(asked, "item_id")
+    filtered = lists.where("list = 'filtered'")
     # ranks close up where a vector has no passage
-    frames = [top_k(plain.withColumnRenamed("rnk", "_at"), ["item_id"], [F.col("_at")], pool(DEFAULT_K[None])).drop("_at")]
+    plain = top_k(filtered.where("query_lang IS NULL").withColumnRenamed("rnk", "_at"), ["item_id"], [F.col("_at")], pool(DEFAULT_K[None]))
+    frames = [plain.select("item_id", "key", "doc_id", "rnk")]
     for lang in ("cy", "en"):
-        k = DEFAULT_K[lang]
-        general = rt.dense_top(v, _asked(q, lang), pool(k), positive=False).join(keys, "vec_id")
+        general = lists.where((F.col("list") == "general") & (F.col("query_lang") == lang))
         if lang == "en":
             general = general.where(_allowed("en"))
-        mine = _asked(filtered.join(q.select("item_id", "query_lang"), "item_id"), lang).drop("query_lang")
-        frames.append(rt.top_up(mine, general.select("item_id", "key", "doc_id", "rnk"), min_fill or k))
+        mine = filtered.where(F.col("query_lang") == lang)
+        frames.append(rt.top_up(*(x.select("item_id", "key", "doc_id", "rnk") for x in (mine, general)), min_fill or DEFAULT_K[lang]))
     return _union(frames)
 
 
@@ -143,7 +161,7 @@ def vector_load(spark, d):
 
 def _dense_sparse_lists(spark, d, k):
     keys = _keys(spark, d)
-    dense = rt.dense_top(src.vectors(spark, d), src.question_vectors(spark, d), k).join(keys, "vec_id")
+    dense = dense_ranked(spark, d, k).join(keys, "vec_id")
     sparse = _bm25(spark, d, k).join(keys.drop("vec_id"), "doc_id")
     return {"dense": dense.select("item_id", "key", "rnk"), "sparse": sparse.select("item_id", "key", "rnk")}
 
@@ -159,8 +177,7 @@ def hybrid_search(spark, d):
     dense = _filled_dense(spark, d, min_fill=None).select("item_id", "key", "rnk")
     sparse = _bm25_by_lang(spark, d).join(keys.select("doc_id", "key"), "doc_id").select("item_id", "key", "rnk")
     fused = rt.fuse({"dense": dense, "sparse": sparse}, max(DEFAULT_K.values()))
-    k = F.when(F.col("query_lang") == "cy", DEFAULT_K["cy"]).when(
-        F.col("query_lang") == "en", DEFAULT_K["en"]).otherwise(DEFAULT_K[None])
+    k = _by_lang(*(DEFAULT_K[lang] for lang in ("cy", "en", None)))
     asked = src.questions(spark, d).where(F.trim("text") != "").select("item_id", "query_lang")
     return fused.join(asked, "item_id").where(F.col("rnk") <= k).select(
         "item_id", "rnk", F.md5("key").alias("key"), "score")
@@ -181,8 +198,7 @@ def _hybrid_hits(spark, d, n):
     """TF-IDF pool fused with the dense pool by passage id."""
     known = src.documents(spark, d).select("doc_id")
     lexical = _tfidf(spark, d, 20).select("item_id", F.col("doc_id").alias("key"), "rnk")
-    dense = rt.dense_top(src.vectors(spark, d), src.question_vectors(spark, d), 20)
-    dense = dense.select("item_id", F.col("vec_id").alias("key"), "rnk")
+    dense = dense_topk(spark, d).select("item_id", F.col("vec_id").alias("key"), "rnk")
     fused = rt.fuse({"lexical": lexical, "dense": dense}, n)
     return fused.withColumnRenamed("key", "doc_id").join(known, "doc_id", "left_semi")
 
