@@ -11,8 +11,10 @@ their pairs. In larger blocks every vertex is first compared with the block cent
 
 Trees. Large blocks that then still hold several components get a signature tree: leaves carry a vertex's size and bitmap
 of shingles, inner nodes the OR of the bitmaps and the size range below. A dual traversal from (root, root) down drops node
-pairs whose largest possible overlap misses ``3 (n + n') / 7``, whose sizes cannot match or that lie in one component. What
-is left at the leaves is counted over all blocks, held against the front bound and then compared exactly. Pairs inside a component are never enumerated, so no group is expanded.
+pairs whose largest possible overlap misses ``3 (n + n') / 7``, whose sizes cannot match or that lie in one component. A task
+keeps of the pairs left at the leaves a spanning forest. The forests of all blocks make groups, which hold every link not yet
+found; a group's vertices get their shingles once, are traversed again, and pairs left are compared exactly in the task, which
+passes over pairs inside one component by then and returns the links that join two. No task returns more rows than it was given.
 
 Bounds only drop pairs that cannot link: the result is exact up to collisions of 64-bit hashes. Null and empty texts have
 no shingles and link with nothing. Repeated rows and texts are one vertex; null ids count only if a component has no other.
@@ -21,7 +23,7 @@ Other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -37,7 +39,7 @@ from tidemark.llm.components import components
 SMALL = 8
 FAN = 16
 #: Largest block that one task takes whole; a larger one is dealt as pairs of slices.
-SLICE = 2048
+SLICE, SLICE_SHINGLES = 2048, 4 << 20
 #: Front shingles in a task's packet, and aimed at per hash range.
 PACKET = 1 << 20
 PER_RANGE = 600_000
@@ -221,12 +223,10 @@ def _tiled(maps: list[bytes], width: int) -> np.ndarray:
     return out
 
 
-def dual_traversal(v: np.ndarray, n: np.ndarray, maps: list[bytes], root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of different components that the bounds leave, from one tree for every two neighbouring bitmap widths.
-
-    Sets of sizes that can link have the same width or neighbouring ones.
-    """
-    widths, found = np.array([len(m) for m in maps]), []
+def open_pairs(n: np.ndarray, maps: list[bytes], root: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of pairs of different components that the bounds leave, part by part, from one tree for every two neighbouring
+    bitmap widths. Sets of sizes that can link have the same width or neighbouring ones."""
+    widths = np.array([len(m) for m in maps])
     counts = np.fromiter((int.from_bytes(m, "little").bit_count() for m in maps), np.int64, len(maps))
     for width in np.unique(widths):
         wider = (widths == 2 * width).any()
@@ -235,23 +235,28 @@ def dual_traversal(v: np.ndarray, n: np.ndarray, maps: list[bytes], root: np.nda
         chosen = np.flatnonzero((widths == width) | (widths == 2 * width))
         if len(np.unique(root[chosen])) > 1:
             top = int(widths[chosen].max())
-            found.append(np.stack(_traversed(v[chosen], n[chosen], _tiled([maps[i] for i in chosen], top), counts[chosen], root[chosen]), axis=1))
+            for p, q in _traversed(n[chosen], _tiled([maps[i] for i in chosen], top), counts[chosen], root[chosen]):
+                yield chosen[p], chosen[q]
+
+
+def dual_traversal(v: np.ndarray, n: np.ndarray, maps: list[bytes], root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All those pairs by vertex, a < b."""
+    found = [np.stack([np.minimum(v[p], v[q]), np.maximum(v[p], v[q])], axis=1) for p, q in open_pairs(n, maps, root)]
     pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
     return pairs[:, 0], pairs[:, 1]
 
 
-def _traversed(v: np.ndarray, n: np.ndarray, bits: np.ndarray, counts: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _traversed(n: np.ndarray, bits: np.ndarray, counts: np.ndarray, root: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """One tree against itself; leaves are ordered by component and size."""
     codes = np.unique(root, return_inverse=True)[1]
-    order = np.lexsort((v, n, codes))
-    v, n, codes, extra = v[order], n[order], codes[order], (n - counts)[order]
+    order = np.lexsort((n, codes))
+    n, codes, extra = n[order], codes[order], (n - counts)[order]
     levels = [Level(bits[order], n, n, extra, codes)]
     while len(levels[-1].low) > FAN:
         levels.append(levels[-1].above())
     top = np.arange(len(levels[-1].low))
     p, q = (x.ravel() for x in np.meshgrid(top, top, indexing="ij"))
     p, q = p[p <= q], q[p <= q]
-    found: list[tuple[np.ndarray, np.ndarray]] = []
     work = [(len(levels) - 1, p, q)]
     while work:
         at, p, q = work.pop()
@@ -261,7 +266,7 @@ def _traversed(v: np.ndarray, n: np.ndarray, bits: np.ndarray, counts: np.ndarra
             continue
         if at == 0:
             keep = p != q
-            found.append((v[p[keep]], v[q[keep]]))
+            yield order[p[keep]], order[q[keep]]
             continue
         below = len(levels[at - 1].low)
         for i in range(0, len(p), 4096):  # bounded memory however many node pairs are open
@@ -270,34 +275,63 @@ def _traversed(v: np.ndarray, n: np.ndarray, bits: np.ndarray, counts: np.ndarra
             a, b = (x.ravel() for x in np.broadcast_arrays(a, b))
             inside = (a < below) & (b < below) & (a <= b)
             work.append((at - 1, a[inside], b[inside]))
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-    return np.minimum(a, b), np.maximum(a, b)
 
 
-def tree_pairs(members: DataFrame) -> DataFrame:
-    """(block, c, v, n, bits, root) -> (a, b, n_a, n_b, c): pairs across components that the trees leave, c summed over blocks.
+class Parts:
+    """Growing parts of the places of a group."""
 
-    A pair's bounds are the same in every block, so it comes out of all blocks it is in and c is its exact count there.
-    """
-    slices = members.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / SLICE).cast("int").alias("slices"), F.count_distinct("root").alias("roots"))
-    dealt = members.join(slices.where("roots > 1").drop("roots"), "block").withColumn("own", F.pmod(F.xxhash64("v"), F.col("slices")).cast("int"))
+    def __init__(self, label: np.ndarray) -> None:
+        self.label = np.unique(label, return_inverse=True)[1]
+
+    def joining(self, p: np.ndarray, q: np.ndarray, linked: Callable[[int, int], bool]) -> Iterator[tuple[int, int]]:
+        """The pairs that join two parts, of those that ``linked`` accepts; pairs inside one part are passed over."""
+        for at in range(0, len(p), 4096):
+            x_at, y_at = p[at : at + 4096], q[at : at + 4096]
+            apart = self.label[x_at] != self.label[y_at]
+            for x, y in zip(x_at[apart].tolist(), y_at[apart].tolist(), strict=True):
+                if self.label[x] != self.label[y] and linked(x, y):
+                    self.label[self.label == self.label[y]] = self.label[x]
+                    yield x, y
+
+
+def _dealt(members: DataFrame, group: str) -> DataFrame:
+    """Members of a group in slices of bounded rows and shingles, each copied to the pairs (i, j) of slices that it is in."""
+    slices = members.groupBy(group).agg(F.ceil(F.greatest(F.count(F.lit(1)) / SLICE, F.sum("n") / SLICE_SHINGLES)).cast("int").alias("slices"), F.count_distinct("root").alias("roots"))
+    cut = members.join(slices.where("roots > 1").drop("roots"), group).withColumn("own", F.pmod(F.xxhash64("v"), F.col("slices")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("slices") - 1))
-    dealt = dealt.select("*", other.alias("other")).select("block", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "c", "v", "n", "bits", "root")
+    return cut.select("*", other.alias("other")).select(*members.columns, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
+
+
+def _of_slices(group: pd.DataFrame, maps: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Open pairs that belong to the slices (i, j) of this task: a pair inside one slice belongs to that slice alone."""
+    own, i, j = group["own"].to_numpy(), group["i"].iat[0], group["j"].iat[0]
+    for p, q in open_pairs(group["n"].to_numpy(), maps, group["root"].to_numpy()):
+        here = (np.minimum(own[p], own[q]) == i) & (np.maximum(own[p], own[q]) == j)
+        yield p[here], q[here]
 
+
+def tree_groups(members: DataFrame) -> DataFrame:
+    """(block, v, n, bits, root) -> (a, b): fewer pairs than members that connect all pairs across components that the trees leave."""
     def traverse(group: pd.DataFrame) -> pd.DataFrame:
-        v, n, own = (group[x].to_numpy() for x in ("v", "n", "own"))
-        a, b = dual_traversal(v, n, list(group["bits"]), group["root"].to_numpy())
-        order = np.argsort(v)
-        x, y = (order[np.searchsorted(v, z, sorter=order)] for z in (a, b))
-        # a pair inside one slice belongs to that slice alone
-        here = (np.minimum(own[x], own[y]) == group["i"].iat[0]) & (np.maximum(own[x], own[y]) == group["j"].iat[0])
-        x, y = x[here], y[here]
-        return pd.DataFrame({"a": v[x], "b": v[y], "n_a": n[x], "n_b": n[y], "c": group["c"].iat[0]})
+        v = group["v"].to_numpy()
+        parts = Parts(v)
+        pairs = [(v[x], v[y]) for p, q in _of_slices(group, list(group["bits"])) for x, y in parts.joining(p, q, lambda x, y: True)]
+        return pd.DataFrame({"a": [min(e) for e in pairs], "b": [max(e) for e in pairs]}, dtype="int64")
+
+    return _dealt(members, "block").groupBy("block", "i", "j").applyInPandas(traverse, "a long, b long").distinct()
+
+
+def tree_links(members: DataFrame) -> DataFrame:
+    """(group, v, n, shingles, root) -> (a, b): links that join all components of a group that have one, by exact comparison
+    of the pairs that the trees leave; a link inside components joined by now is passed over."""
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        v, sets = group["v"].to_numpy(), [np.frombuffer(x, np.uint64) for x in group["shingles"]]
+        parts = Parts(group["root"].to_numpy())
+        pairs = [(v[x], v[y]) for p, q in _of_slices(group, [bitmap(s) for s in sets])
+                 for x, y in parts.joining(p, q, lambda x, y: similar(sets[x], sets[y]))]
+        return pd.DataFrame({"a": [min(e) for e in pairs], "b": [max(e) for e in pairs]}, dtype="int64")
 
-    found = dealt.groupBy("block", "i", "j").applyInPandas(traverse, "a long, b long, n_a long, n_b long, c long")
-    return found.groupBy("a", "b", "n_a", "n_b").agg(F.sum("c").alias("c"))
+    return _dealt(members, "group").groupBy("group", "i", "j").applyInPandas(compare, "a long, b long")
 
 
 def _stars(members: DataFrame, facts: DataFrame) -> DataFrame:
@@ -353,10 +387,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known = members.join(roots, "v", "left").select("block", "c", "v", F.coalesce("root", "v").alias("root"))
     open_blocks = stage(known.groupBy("block").agg(F.count_distinct("root").alias("roots")).where("roots > 1").select("block"), "open-blocks")
     inside = stage(known.join(open_blocks, "block", "left_semi"), "open-members")
-    signed = stage(_signatures(texts.join(inside.select("v").distinct(), "v", "left_semi")), "signatures")
-    second = tree_pairs(inside.join(signed, "v")).join(pairs.withColumnRenamed("c", "beside"), ["a", "b"], "left")
-    second = second.where(_reaches(F.col("c") + F.coalesce("beside", F.lit(0)))).join(first, ["a", "b"], "left_anti")
-    more = stage(verified(stage(second.select("a", "b"), "second-pairs"), texts), "second-links")
+    signed = stage(_per_set(texts.join(inside.select("v").distinct(), "v", "left_semi"), "bits", bitmap), "signatures")
+    groups = components(tree_groups(inside.select("block", "v", "root").join(signed, "v"))).withColumnRenamed("root", "group")
+    grouped = inside.select("v", "root").distinct().join(groups, "v")
+    more = stage(tree_links(grouped.join(_per_set(texts.join(groups.select("v"), "v", "left_semi"), "shingles", np.ndarray.tobytes), "v")), "second-links")
     roots = components(links.union(more))
 
     placed = sets.join(roots, "v", "left").select("v", "low", F.coalesce("root", "v").alias("root"))
@@ -366,14 +400,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"), "oa", "ob")
 
 
-def _signatures(texts: DataFrame) -> DataFrame:
+def _per_set(texts: DataFrame, name: str, make: Callable[[np.ndarray], bytes]) -> DataFrame:
+    """(v, n, what ``make`` gives for the sorted shingles) of every text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in shingles.pieces(batch, 1):
                 found = list(shingles.sets(part.column(1)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array([bitmap(s) for s in found], pa.binary())], ["v", "n", "bits"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array([make(s) for s in found], pa.binary())], ["v", "n", name])
 
-    return texts.select("v", "text").mapInArrow(run, "v long, n long, bits binary")
+    return texts.select("v", "text").mapInArrow(run, f"v long, n long, {name} binary")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
