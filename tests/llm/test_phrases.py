@@ -67,8 +67,10 @@ def test_equals_brute_force(spark, most_words, least, top):
     assert len(want) > 10
 
 
-def test_pairs_of_hot_words_are_dealt_over_parts(spark, monkeypatch):
-    monkeypatch.setattr(phrases, "HOT_SHARE", 10**6)
+def test_windows_of_hot_words_are_dealt_over_ranges(spark, monkeypatch):
+    monkeypatch.setattr(phrases, "HOT", 20)
+    monkeypatch.setattr(phrases, "PER_RANGE", 50)
+    monkeypatch.setattr(phrases, "PACKET", 200)
     rows = table(11)
     docs = spark.createDataFrame(rows, "lang string, text string")
     assert sorted(tuple(r) for r in phrases.collocations(docs, 5, 100).collect()) == brute(rows, 5, 100)

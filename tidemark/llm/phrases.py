@@ -4,11 +4,12 @@ Top-order marginalisation. Each word of a piece opens one window: itself and the
 piece's words), padded at the piece's end. Only these windows are counted; one Spark ROLLUP over (lang, w1, w2, w3, w4) then
 sums them to the counts of all shorter prefixes, that is of all phrases, and of all words of a language.
 
-Two exact cuts keep the windows few, as no part of a phrase is rarer than the phrase. A window ends before a word that its
-language has fewer than ``least`` times, and a window whose first two words are together met fewer than ``least`` times keeps
-its first word only. Words travel as numbers while the vocabulary of such frequent words is at most ``most_words``; a larger
-one is never gathered, and the words travel themselves. Windows are summed per batch before any shuffle; the few pairs of two
-very frequent words are dealt over several tasks and not cut.
+Exact cuts keep the windows few, as no part of a phrase is rarer than the phrase. A window ends before a word that its language
+has fewer than ``least`` times, and before a word with which its beginning is met fewer than ``least`` times: tasks send sorted
+windows packed, by hash range of the first two words, so that each range holds all windows of its pairs and can tell. Words
+travel as numbers while the vocabulary of such frequent words is at most ``most_words``; a larger one is never gathered, and the
+words travel themselves, uncut. A pair without a hot word has a bounded number of windows; those of hot pairs (and triples) are
+dealt over ranges by their next word and are not cut before it.
 
 Null texts are empty, a null language is ``und``. Repeated rows count each. Other columns are not read. Empty tables, and
 languages without a frequent phrase, give no rows. All counts are over whole texts and all rows; ``top`` is the report's length.
@@ -33,8 +34,10 @@ LEAST, COVERED_PERCENT, SCALE, TOP = 30, 80, 2_000_000, 2000
 WIDTH = 4
 #: Frequent words up to which they travel as numbers (some 20 bytes each, sent to every executor).
 MOST_WORDS = 1_000_000
-#: Words with more than this share of all words are hot; windows of two hot words are dealt over so many parts.
-HOT_SHARE, HOT_PARTS = 1000, 64
+#: A word met more often is hot: more windows than one range should take.
+HOT = 1 << 21
+#: Distinct windows aimed at per hash range, and held by a task before it sends them.
+PER_RANGE, PACKET = 1 << 21, 1 << 21
 BROADCAST_PHRASES = 500_000
 NO_LANGUAGE = "und"
 
@@ -90,26 +93,52 @@ def windows(codes: np.ndarray, piece: np.ndarray) -> tuple[list[np.ndarray], np.
     return [c[first] for c in columns], np.diff(first, append=len(codes))
 
 
-def _window_counts(numbered: Callable[[], dict] | None) -> Callable:
-    """Windows of numbers where a vocabulary is given, else of the words themselves (pad: empty)."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = numbered() if numbered else {}
-        for lang, words, piece in _by_lang(batches):
-            local = words.indices.to_numpy(zero_copy_only=False)
-            if numbered:
-                known, numbers = vocabulary.get(lang, (pa.array([], pa.large_utf8()), np.zeros(0, np.int32)))
-                place = pc.index_in(words.dictionary, known).fill_null(-1).to_numpy(zero_copy_only=False)
-                codes = np.append(numbers, 0)[place].astype(np.int32)[local]
-            else:
-                codes = local + 1
-            columns, n = windows(codes, piece)
-            if numbered:
-                out = [pa.array(c, pa.int32()) for c in columns]
-            else:
-                spelled = pa.concat_arrays([pa.array([""], pa.utf8()), words.dictionary.cast(pa.utf8())])
-                out = [spelled.take(pa.array(c)) for c in columns]
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n)), *out, pa.array(n, pa.int64())], names=["lang", *_WORDS, "c"])
-    return run
+def _window_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows of the words themselves (pad: empty)."""
+    for lang, words, piece in _by_lang(batches):
+        columns, n = windows(words.indices.to_numpy(zero_copy_only=False) + 1, piece)
+        spelled = pa.concat_arrays([pa.array([""], pa.utf8()), words.dictionary.cast(pa.utf8())])
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n)), *(spelled.take(pa.array(c)) for c in columns), pa.array(n, pa.int64())], names=["lang", *_WORDS, "c"])
+
+
+def _packed(columns: list[np.ndarray], n: np.ndarray) -> bytes:
+    """Sorted windows and counts by planes of equal bytes, compressed."""
+    first = np.diff(columns[0], prepend=np.int32(0))
+    flat = np.concatenate([first.astype(np.int32), *columns[1:], n.astype(np.int32)]).view(np.uint8)
+    return pa.compress(np.ascontiguousarray(flat.reshape(-1, 4).T), codec="zstd", asbytes=True)
+
+
+def _unpacked(packet: bytes, rows: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(packet, decompressed_size=rows * 4 * (WIDTH + 1), codec="zstd", asbytes=True), np.uint8)
+    flat = np.ascontiguousarray(planes.reshape(4, -1).T).view(np.int32).reshape(WIDTH + 1, rows).copy()
+    flat[0] = np.cumsum(flat[0])
+    return flat
+
+
+def _distinct(columns: np.ndarray) -> np.ndarray:
+    """Equal windows (all rows but the last) put together, their counts (last row) summed; sorted."""
+    columns = columns[:, np.lexsort(columns[WIDTH - 1 :: -1])]
+    new = np.ones(columns.shape[1], bool)
+    new[1:] = (columns[:WIDTH, 1:] != columns[:WIDTH, :-1]).any(axis=0)
+    first = np.flatnonzero(new)
+    out = columns[:, first]
+    out[WIDTH] = np.add.reduceat(columns[WIDTH], first) if len(first) else 0
+    return out
+
+
+def cut_short(columns: np.ndarray, hot: int, least: int) -> np.ndarray:
+    """Distinct windows, each ended before the word with which its beginning is rare; a beginning of hot words only is spared."""
+    w = _distinct(columns)
+    for k in range(2, WIDTH + 1):
+        if not w.shape[1]:
+            break
+        new = np.ones(w.shape[1], bool)
+        new[1:] = (w[:k, 1:] != w[:k, :-1]).any(axis=0)
+        total = np.add.reduceat(w[WIDTH], np.flatnonzero(new))[np.cumsum(new) - 1]
+        # windows of a hot beginning may lie in several ranges, but for the last word
+        spared = (w[:k] <= hot).all(axis=0) if k < WIDTH else np.zeros(len(total), bool)
+        w[k - 1 : WIDTH, (total < least) & ~spared] = 0
+    return _distinct(w)
 
 
 class _Vocabulary:
@@ -117,7 +146,8 @@ class _Vocabulary:
 
     def __init__(self, frequent: DataFrame):
         rows = frequent.orderBy(F.desc("n"), "lang", "word").toArrow()
-        self.total_hot = rows.column("n").to_numpy()
+        counts = rows.column("n").to_numpy()
+        self.hot, self.ranges = int((counts > HOT).sum()), 1 + int(counts.sum()) // PER_RANGE
         self.shared = frequent.sparkSession.sparkContext.broadcast((rows.column("lang").to_pylist(), rows.column("word").combine_chunks()))
 
     def __call__(self) -> dict:
@@ -125,8 +155,49 @@ class _Vocabulary:
         langs, numbers = np.array(langs, dtype=object), np.arange(1, len(langs) + 1, dtype=np.int32)
         return {x: (words.filter(pa.array(langs == x)).cast(pa.large_utf8()), numbers[langs == x]) for x in dict.fromkeys(langs)}
 
-    def __getstate__(self) -> dict:
-        return {"shared": self.shared}
+    def packets(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(range, rows, packet): windows of numbers by hash range; those without a first word go by language, as number -1, -2, ..."""
+        vocabulary, held, size = self(), [], 0
+        codes_of = {lang: i for i, lang in enumerate(vocabulary)}
+
+        def flush() -> pa.RecordBatch:
+            w = _distinct(np.concatenate(held, axis=1))
+            spread = shingles.mix(w[0].astype(np.uint64) + (w[1].astype(np.uint64) << np.uint64(32)))
+            for k in range(2, WIDTH):  # a beginning of hot words is dealt by its next word
+                hot = ((w[:k] > 0) & (w[:k] <= self.hot)).all(axis=0)
+                spread[hot] = shingles.mix(spread[hot] + w[k, hot].astype(np.uint64) + np.uint64(k))
+            place = (spread % np.uint64(self.ranges)).astype(np.int64)
+            order = np.argsort(place, kind="stable")
+            cuts = np.flatnonzero(np.diff(place[order], prepend=-1))
+            parts = np.split(order, cuts[1:])
+            return pa.RecordBatch.from_arrays([
+                pa.array(place[order][cuts]), pa.array([len(p) for p in parts], pa.int64()),
+                pa.array([_packed([w[i, p] for i in range(WIDTH)], w[WIDTH, p]) for p in parts], pa.binary())], names=["range", "rows", "packet"])
+
+        for lang, words, piece in _by_lang(batches):
+            if lang not in vocabulary:
+                continue  # no word of the language can be part of a phrase
+            known, numbers = vocabulary[lang]
+            place = pc.index_in(words.dictionary, known).fill_null(-1).to_numpy(zero_copy_only=False)
+            columns, n = windows(np.append(numbers, 0)[place].astype(np.int32)[words.indices.to_numpy(zero_copy_only=False)], piece)
+            columns[0] = np.where(columns[0] > 0, columns[0], -1 - codes_of[lang]).astype(np.int32)
+            held.append(np.stack([*columns, n.astype(np.int32)]))
+            size += len(n)
+            if size >= PACKET:
+                yield flush()
+                held, size = [], 0
+        if held:
+            yield flush()
+
+    def gathered(self, least: int) -> Callable[[pa.Table], pa.Table]:
+        def run(group: pa.Table) -> pa.Table:
+            w = np.concatenate([_unpacked(p, n) for p, n in zip(group.column("packet").to_pylist(), group.column("rows").to_pylist(), strict=True)], axis=1).astype(np.int64)
+            w = cut_short(w, self.hot, least)
+            langs = list(dict.fromkeys(self.shared.value[0]))
+            by_word = pa.array(self.shared.value[0])
+            lang = pa.concat_arrays([by_word, pa.array(langs)]).take(pa.array(np.where(w[0] > 0, w[0] - 1, len(by_word) - 1 - w[0])))
+            return pa.table([lang, *(pa.array(np.maximum(w[i], 0), pa.int32()) for i in range(WIDTH)), pa.array(w[WIDTH])], names=["lang", *_WORDS, "c"])
+        return run
 
     def spell(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = self.shared.value[1]
@@ -139,16 +210,6 @@ class _Vocabulary:
             yield batch.set_column(i, "phrase", joined.cast(pa.utf8()))
 
 
-def _without_rare_pairs(counted: DataFrame, hot: int, least: int) -> DataFrame:
-    """Windows of a rare first pair keep their first word."""
-    both_hot = (F.col("w1") > 0) & (F.col("w1") <= hot) & (F.col("w2") > 0) & (F.col("w2") <= hot)
-    part = F.when(both_hot, F.pmod(F.xxhash64("w3", "w4"), F.lit(HOT_PARTS))).otherwise(0)
-    pair = F.sum("c").over(W.partitionBy("lang", "w1", "w2", "part"))
-    rows = counted.withColumn("part", part).withColumn("pair", pair)
-    stays = both_hot | (F.col("pair") >= least)
-    return rows.select("lang", "w1", *[F.when(stays, F.col(w)).otherwise(F.lit(0)).alias(w) for w in _WORDS[1:]], "c")
-
-
 def phrase_counts(docs: DataFrame, least: int = LEAST, most_words: int = MOST_WORDS) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
     """((lang, phrase, f) of all phrases of one to four words met ``least`` times, and () for all words of the language;
     a function that spells the column ``phrase``)."""
@@ -158,11 +219,11 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, most_words: int = MOST_WO
     small = frequent.limit(most_words + 1).count() <= most_words
     if small:
         vocabulary = _Vocabulary(frequent)
-        hot = int((vocabulary.total_hot > vocabulary.total_hot.sum() // HOT_SHARE).sum())
-        counted = _without_rare_pairs(base.mapInArrow(_window_counts(vocabulary), f"lang string, {', '.join(f'{w} int' for w in _WORDS)}, c bigint"), hot, least)
+        packets = base.mapInArrow(vocabulary.packets, "range bigint, rows bigint, packet binary")
+        counted = packets.groupBy("range").applyInArrow(vocabulary.gathered(least), f"lang string, {', '.join(f'{w} int' for w in _WORDS)}, c bigint")
         pad: Column = F.lit(0)
     else:
-        counted = base.mapInArrow(_window_counts(None), f"lang string, {', '.join(f'{w} string' for w in _WORDS)}, c bigint")
+        counted = base.mapInArrow(_window_words, f"lang string, {', '.join(f'{w} string' for w in _WORDS)}, c bigint")
         pad = F.lit("")
     summed = counted.rollup("lang", *_WORDS).agg(F.sum("c").alias("f"), F.grouping_id().alias("level"))
     # level: a bit for each column summed over, the last one lowest
