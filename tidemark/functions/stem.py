@@ -6,7 +6,7 @@ import re
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -81,6 +81,23 @@ def stem(word: str) -> str:
     return word
 
 
+@F.pandas_udf(T.StringType())
+def _one(terms: pd.Series) -> pd.Series:
+    return terms.map(stem)
+
+
+def stem_table(terms: DataFrame) -> DataFrame:
+    """(term, stem) of the distinct terms that stemming changes: each word of a vocabulary is stemmed once."""
+    return terms.select("term").distinct().select("term", _one("term").alias("stem")).where("stem <> term")
+
+
+def stemmed(counted: DataFrame, table: DataFrame, *keys: str) -> DataFrame:
+    """Counted terms (keys, lang, term, tf) with English terms replaced by their stems and equal ones added up."""
+    joined = counted.join(table, ["term"], "left")
+    term = F.when(F.col("lang") == "en", F.coalesce("stem", "term")).otherwise(F.col("term")).alias("term")
+    return joined.groupBy(*keys, term).agg(F.sum("tf").alias("tf"))
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def _stems(tokens: pd.Series) -> pd.Series:
     return tokens.map(lambda ts: [stem(t) for t in ts])

@@ -56,7 +56,7 @@ def keywords(text: Column, limit: int) -> Column:
 
 
 def preprocess(text: Column, stop: Sequence[str] = tuple(rules.EN_STOP)) -> Column:
-    """Tokens of length two or more outside a stoplist (stemming is separate)."""
+    """Tokens of length two or more outside a stoplist (``stem`` stems counted terms)."""
     clean = F.regexp_replace(F.lower(text), r"[^\wÀ-ɏ\s]", " ")
     return F.filter(
         F.split(clean, r"\s+"),
@@ -64,6 +64,11 @@ def preprocess(text: Column, stop: Sequence[str] = tuple(rules.EN_STOP)) -> Colu
     )
 
 
+def preprocess_by(text: Column, lang: Column) -> Column:
+    """``preprocess`` with the stoplist of the language: Welsh for ``cy``, else English."""
+    return F.when(lang == "cy", preprocess(text, rules.CY_STOP)).otherwise(preprocess(text))
+
+
 def word_count(text: Column) -> Column:
     """Number of blank-separated words; zero for blank text."""
     trimmed = squeeze(text)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark import rules
 from tidemark.functions import text as tx
+from tidemark.functions.stem import stem_table, stemmed
 from tidemark.operators.blocks import pair_blocks
 from tidemark.operators.ordered import top_k
 from tidemark.session import cut
@@ -61,8 +62,12 @@ def build_stats(docs: DataFrame, tokens: Column) -> SparseStats:
     return SparseStats(idf, n, whole[1] / n if n else 0.0)
 
 
-def query_terms(queries: DataFrame, query_id: str, tokens: Column) -> DataFrame:
-    """(query, term, qtf): repeated query tokens count repeatedly."""
+def query_terms(queries: DataFrame, query_id: str, tokens: Column, stems: bool = False) -> DataFrame:
+    """(query, term, qtf): repeated query tokens count repeatedly; with ``stems`` English queries are stemmed by their ``lang``."""
+    if stems:
+        asked = tx.counted_terms(queries, tokens, query_id, "lang")
+        table = cut(stem_table(asked.where("lang = 'en'").select("term")))
+        return stemmed(asked, table, query_id).select(query_id, "term", F.col("tf").alias("qtf"))
     return tx.counted_terms(queries, tokens, query_id).select(query_id, "term", F.col("tf").alias("qtf"))
 
 
@@ -103,11 +108,19 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", que
 
 
 def tfidf_scores(docs: DataFrame, queries: DataFrame, doc_tokens: Column, query_tokens: Column,
-                 doc_id: str, query_id: str, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Sum over query tokens of tf * (1 + ln(N / (1 + df)))."""
+                 doc_id: str, query_id: str, carry: tuple[str, ...] = (), stems: bool = False) -> DataFrame:
+    """Sum over query tokens of tf * (1 + ln(N / (1 + df))); with ``stems`` both sides have a ``lang`` and English terms are stemmed."""
     n = docs.agg(F.count("*").alias("n")).scalar()
-    post = postings(docs, doc_id, doc_tokens, *carry)
-    wanted = query_terms(queries, query_id, query_tokens)
+    lang = ("lang",) if stems else ()
+    post = postings(docs, doc_id, doc_tokens, *carry, *lang)
+    asked = tx.counted_terms(queries, query_tokens, query_id, *lang)
+    if stems:
+        english = [x.where("lang = 'en'").select("term") for x in (post, asked)]
+        table = cut(stem_table(english[0].union(english[1])))
+        table = _sized(table, table.count())
+        post = stemmed(post, table, doc_id, *carry)
+        asked = stemmed(asked, table, query_id)
+    wanted = asked.select(query_id, "term", F.col("tf").alias("qtf"))
     n_terms = wanted.count()
     vocabulary = wanted.select("term").distinct()
     freq = document_frequency(post).join(_sized(vocabulary, n_terms), "term", "left_semi")

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import rules
+from tidemark.functions.stem import stem
 from tidemark.operators.ordered import top_k
 from tidemark.session import cut, scratch_path
 
@@ -100,9 +101,21 @@ _BLOCK = "lang string, block bigint, docs array<bigint>, lengths array<int>, ter
 
 def _pack(group: pa.Table) -> pa.Table:
     """Documents of one block -> one row: terms in order, their postings one after the other."""
+    return _packed(group, False)
+
+
+def _pack_stems(group: pa.Table) -> pa.Table:
+    """The same with the words of an English block replaced by their stems."""
+    return _packed(group, group.column("lang")[0].as_py() == "en")
+
+
+def _packed(group: pa.Table, stems: bool) -> pa.Table:
     group = group.combine_chunks()
     listed = group.column("tokens").combine_chunks()
     coded = listed.flatten().dictionary_encode()
+    if stems:
+        by_word = pa.array([stem(w) for w in coded.dictionary.to_pylist()], pa.string()).dictionary_encode()
+        coded = pa.DictionaryArray.from_arrays(by_word.indices.take(coded.indices), by_word.dictionary)
     names = coded.dictionary.cast(pa.utf8())
     order = pc.array_sort_indices(names).to_numpy()
     rank = np.empty(len(order), np.int64)
@@ -144,9 +157,11 @@ class _Block:
         self.gain = _gain(values("tfs").to_numpy().astype(np.float64), values("lengths").to_numpy()[self.places], mean)
 
 
-def build_sparse(docs: DataFrame, tokens: Column, doc_id: str = "doc_id", bm25: bool = True) -> Sparse:
+def build_sparse(docs: DataFrame, tokens: Column, doc_id: str = "doc_id", bm25: bool = True, stems: bool = False) -> Sparse:
     """A store over (id, text columns, lang); a document is tokenised once, and shuffled once to its block.
 
+    With ``stems`` the words of English blocks are stemmed, each word of a block once.
+
     Without ``bm25`` term weights are 1 + ln(N / (1 + df)) over all documents, else the floored idf over documents with tokens.
     """
     split = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col("lang").cast("string"), tokens.alias("tokens"))
@@ -154,7 +169,7 @@ def build_sparse(docs: DataFrame, tokens: Column, doc_id: str = "doc_id", bm25:
     n, total = full.agg(F.count(F.lit(1)), F.sum(F.size("tokens").cast("long"))).first()
     count = max(1, math.ceil(max(n / BLOCK_DOCS, (total or 0) / BLOCK_TOKENS)))
     dealt = full.select("lang", F.pmod(F.xxhash64("doc"), F.lit(count)).alias("block"), "doc", "tokens")
-    blocks = _saved(dealt.groupBy("lang", "block").applyInArrow(_pack, _BLOCK), "postings", "lang")
+    blocks = _saved(dealt.groupBy("lang", "block").applyInArrow(_pack_stems if stems else _pack, _BLOCK), "postings", "lang")
     mean = total / n if n and bm25 else None
     tops = _saved(blocks.mapInArrow(_tops(mean), "lang string, block bigint, term string, top double, df bigint"), "impacts", "lang")
     df = tops.groupBy("term").agg(F.sum("df").alias("df"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from tidemark import rules
 from tidemark.operators.acts import TEMPLATES
 from tidemark.oracles import lang
-from tidemark.oracles.dialect import (LEXICON_RECORDS, PAIRS, PASSAGES, PATTERNS, RESPONSES, TURNS, in_list, keywords, lst, q,
+from tidemark.oracles.dialect import (LEXICON_RECORDS, PAIRS, PASSAGES, PATTERNS, RESPONSES, TURNS, in_list, keywords, lst, preprocess, q,
                                       rows, rx, squeeze, strip, with_)
+from tidemark.oracles.stem import stems
 from tidemark.plans import corpus as pc
 from tidemark.plans import inputs
 
@@ -151,6 +152,10 @@ SELECT id, title, title_cy, priority::BIGINT AS priority, hint, len(en) AS n_en,
 _EMB = strip("source || chr(10) || text")
 _STRIPPED = strip("x")
 _TC = f"seq, {{}} AS cy, {{}} AS en"
+MERGED = """merged AS (SELECT DISTINCT tag, pattern FROM (SELECT tag, pattern FROM patterns WHERE seq % 2 = 0 UNION ALL SELECT tag, pattern FROM whole)),
+added AS (SELECT tag, min_by(pattern, seq) AS pattern, lower(trim(pattern)) AS k FROM tagged_turns WHERE tag IN (SELECT tag FROM whole) GROUP BY tag, k),
+merged_patterns AS (SELECT tag, 'merged' AS origin, pattern FROM merged
+  UNION ALL SELECT tag, 'added', pattern FROM added a WHERE k <> '' AND NOT EXISTS (SELECT 1 FROM merged m WHERE m.tag = a.tag AND lower(trim(m.pattern)) = a.k))"""
 ORACLES = {
     "bounded_sample": with_(PASSAGES, body=f"""
 SELECT doc_id, {STUDY} AS relevant FROM (SELECT * FROM passages ORDER BY doc_id LIMIT {pc.SAMPLE}) WHERE length(text) BETWEEN 80 AND 1200"""),
@@ -199,12 +204,23 @@ SELECT source, title, lang, md5(text) AS text_md5 FROM (
     "exemplar_chunks": with_(TURNS, MINED, body=f"""
 SELECT category, 'How to reply: ' || category AS title, CASE category {_TEMPL} END || string_agg('"' || phrase || '"', ', ' ORDER BY phrase) || '.' AS content
 FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY phrase) AS r FROM mined) WHERE r <= 20 GROUP BY category"""),
-    "pattern_merge": with_(PATTERNS, WHOLE, TAGGED_TURNS, body="""
-, merged AS (SELECT DISTINCT tag, pattern FROM (SELECT tag, pattern FROM patterns WHERE seq % 2 = 0 UNION ALL SELECT tag, pattern FROM whole)),
-added AS (SELECT tag, min_by(pattern, seq) AS pattern, lower(trim(pattern)) AS k FROM tagged_turns WHERE tag IN (SELECT tag FROM whole) GROUP BY tag, k)
-SELECT tag, 'merged' AS origin, md5(pattern) AS pattern_md5 FROM merged
-UNION ALL SELECT tag, 'added', md5(pattern) FROM added a WHERE k <> '' AND NOT EXISTS (
-  SELECT 1 FROM merged m WHERE m.tag = a.tag AND lower(trim(m.pattern)) = a.k)"""),
+    "pattern_merge": with_(PATTERNS, WHOLE, TAGGED_TURNS, body=f"""
+, {MERGED} SELECT tag, origin, md5(pattern) AS pattern_md5 FROM merged_patterns"""),
+    "nb_intent": with_(PATTERNS, WHOLE, TAGGED_TURNS, TURNS, body=f"""
+, {MERGED},
+nb_p AS (SELECT row_number() OVER () AS r, tag, {preprocess('pattern', rules.EN_STOP)} AS t FROM merged_patterns),
+nb_q AS (SELECT conv_id || ':' || turn AS turn_id, {preprocess('text', rules.EN_STOP)} AS t FROM turns WHERE role = 'user'),
+{stems('SELECT unnest(t) AS term FROM nb_p UNION ALL SELECT unnest(t) FROM nb_q')},
+pt AS (SELECT DISTINCT r, tag, coalesce(stem, term) AS term FROM (SELECT r, tag, unnest(t) AS term FROM nb_p) LEFT JOIN stems USING (term)),
+qt AS (SELECT DISTINCT turn_id, coalesce(stem, term) AS term FROM (SELECT turn_id, unnest(t) AS term FROM nb_q) LEFT JOIN stems USING (term)),
+cls AS (SELECT tag, count(DISTINCT r) + 1 AS c FROM pt GROUP BY tag),
+total AS (SELECT count(DISTINCT r) + 1 AS n FROM pt),
+n AS (SELECT term, tag, count(*) AS n FROM pt GROUP BY ALL),
+known AS (SELECT qt.* FROM qt WHERE term IN (SELECT term FROM n)),
+every AS (SELECT turn_id, cls.tag, c, ln(c / total.n) AS prior FROM nb_q, cls, total),
+scored AS (SELECT e.turn_id, e.tag, round(any_value(prior) + coalesce(sum(ln((coalesce(n.n, 0) + 1) / c)) FILTER (WHERE k.term IS NOT NULL), 0), 6) AS score
+  FROM every e LEFT JOIN known k ON k.turn_id = e.turn_id LEFT JOIN n ON n.term = k.term AND n.tag = e.tag GROUP BY e.turn_id, e.tag)
+SELECT turn_id, tag, score FROM scored QUALIFY row_number() OVER (PARTITION BY turn_id ORDER BY score DESC, tag) = 1"""),
     "pattern_dedupe": with_(PATTERNS, WHOLE, TAGGED_TURNS, body=f"""
 , allp AS (SELECT *, lower(trim(pattern)) AS k FROM (SELECT seq, tag, pattern FROM whole UNION ALL SELECT seq + 4611686018427387904, tag, pattern FROM tagged_turns)),
 g AS (SELECT k, min_by(tag, seq) AS first, count(*) AS n, {_OVERRIDE} AS o, bool_or(tag = coalesce({_OVERRIDE}, '')) AS held FROM allp GROUP BY k)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tidemark import rules
 from tidemark.oracles.dialect import QUESTIONS, TAGGED, content_tokens, preprocess, q, strip, with_
+from tidemark.oracles.stem import stems
 
 _TOK = "regexp_extract_all(lower({}), '[a-zâêîôûŵŷ0-9]+')"
 BM25 = f"""toks AS (SELECT doc_id, {_TOK.format('text')} AS t FROM documents),
@@ -24,22 +25,32 @@ def bm25_top(k: int) -> str:
             f"FROM bm25 WHERE score > 0) WHERE rnk <= {k})")
 
 
-_EN_TERMS = preprocess("{}", rules.EN_STOP)
-
-
-def tfidf(docs_sql: str, queries_sql: str, name: str = "tfidf", idcol: str = "doc_id", qcol: str = "item_id") -> str:
-    """CTEs scoring (query, terms list) against (doc, terms list)."""
-    return f"""{name}_d AS ({docs_sql}), {name}_q AS ({queries_sql}),
+def tfidf(docs_sql: str, queries_sql: str, name: str = "tfidf", idcol: str = "doc_id", qcol: str = "item_id", stemming: bool = False) -> str:
+    """CTEs scoring (query, terms list) against (doc, terms list); stemmed where both sides have a lang."""
+    lang, stem = (", lang", f"CASE WHEN lang = 'en' THEN coalesce(stem, term) ELSE term END AS term") if stemming else ("", "term")
+    join = " LEFT JOIN stems USING (term)" if stemming else ""
+    vocabulary = f",\n{stems(f'SELECT unnest(t) AS term FROM {name}_d UNION ALL SELECT unnest(t) FROM {name}_q')}" if stemming else ""
+    return f"""{name}_d AS ({docs_sql}), {name}_q AS ({queries_sql}){vocabulary},
 {name}_n AS (SELECT count(*) AS n FROM {name}_d),
-{name}_p AS (SELECT {idcol}, term, count(*) AS tf FROM (SELECT {idcol}, unnest(t) AS term FROM {name}_d) GROUP BY 1, 2),
+{name}_p AS (SELECT {idcol}, term, count(*) AS tf FROM (SELECT {idcol}, {stem} FROM (SELECT {idcol}{lang}, unnest(t) AS term FROM {name}_d){join}) GROUP BY 1, 2),
 {name}_f AS (SELECT term, count(*) AS df FROM {name}_p GROUP BY 1),
-{name}_t AS (SELECT {qcol}, term, count(*) AS qtf FROM (SELECT {qcol}, unnest(t) AS term FROM {name}_q) GROUP BY 1, 2),
+{name}_t AS (SELECT {qcol}, term, count(*) AS qtf FROM (SELECT {qcol}, {stem} FROM (SELECT {qcol}{lang}, unnest(t) AS term FROM {name}_q){join}) GROUP BY 1, 2),
 {name} AS (SELECT {qcol}, {idcol}, sum(qtf * tf * (1 + ln((SELECT n FROM {name}_n) / (1 + df)))) AS score
   FROM {name}_t JOIN {name}_f USING (term) JOIN {name}_p USING (term) GROUP BY 1, 2)"""
 
 
-TFIDF = tfidf(f"SELECT doc_id, {_EN_TERMS.format('source || chr(10) || text')} AS t FROM documents",
-              f"SELECT item_id, {_EN_TERMS.format('text')} AS t FROM benchmark") + f""",
+def by_lang(col: str, lang: str) -> str:
+    """Terms outside the stoplist of the language."""
+    return f"CASE WHEN {lang} = 'cy' THEN {preprocess(col, rules.CY_STOP)} ELSE {preprocess(col, rules.EN_STOP)} END"
+
+
+def _two(lang: str) -> str:
+    return f"CASE WHEN {lang} = 'cy' THEN 'cy' ELSE 'en' END"
+
+
+TFIDF = TAGGED + ",\n" + QUESTIONS + ",\n" + tfidf(
+    f"SELECT doc_id, {_two('lang')} AS lang, {by_lang('source || chr(10) || text', 'lang')} AS t FROM tagged",
+    f"SELECT item_id, {_two('query_lang')} AS lang, {by_lang('text', 'query_lang')} AS t FROM questions", stemming=True) + f""",
 tfidf_top AS (SELECT * FROM (SELECT item_id, doc_id, score, {_RANK.format('doc_id')} AS rnk
   FROM (SELECT item_id, doc_id, round(score, 6) AS score FROM tfidf) WHERE score > {rules.TFIDF_FLOOR}) WHERE rnk <= 20)"""
 
@@ -130,7 +141,7 @@ WHERE len(embedding) > 0"""),
 WHERE trim(text) <> '' AND rnk <= CASE query_lang WHEN 'cy' THEN 5 WHEN 'en' THEN 4 ELSE 2 END"""),
     "rerank": with_(BM25, bm25_top(10), rerank_body(
         f"SELECT item_id, doc_id, round(1.0 / ({rules.RRF_K} + rnk), 6) AS fused, rnk AS input_rank FROM bm25_top", 5), body=""),
-    "hybrid_rerank": with_(TFIDF, TAGGED, QUESTIONS, VEC, DENSE,
+    "hybrid_rerank": with_(TFIDF, VEC, DENSE,
                            fused("SELECT item_id, doc_id AS key, rnk FROM tfidf_top",
                                  "SELECT item_id, vec_id AS key, rnk FROM dense WHERE rnk <= 20", "lexical", "dense", "10"),
                            rerank_body("SELECT item_id, key AS doc_id, score AS fused, rnk AS input_rank FROM fused "

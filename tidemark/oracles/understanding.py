@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 from tidemark import rules
+from tidemark.oracles import lang
 from tidemark.oracles import language as ol
 from tidemark.oracles.corpus import FACTS, TOPICS
 from tidemark.oracles.dialect import PATTERNS, QUESTIONS, TAGGED, TURNS, in_list, latin_tokens, preprocess, strip, with_
-from tidemark.oracles.search import DENSE, TFIDF, VEC, tfidf
+from tidemark.oracles.search import DENSE, TFIDF, VEC, by_lang, tfidf
 
 ASKING = f"""{ol.BOOST},
 asking AS (SELECT conv_id, turn, conv_id || ':' || turn AS turn_id, text, cm, fm,
   array_to_string(list(text) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), ' ') AS query
   FROM subjects WHERE role = 'user')"""
-INTENTS = tfidf(f"SELECT seq, {preprocess('pattern', rules.EN_STOP)} AS t FROM patterns",
-                f"SELECT turn_id, {preprocess('query', rules.EN_STOP)} AS t FROM asking", "it", "seq", "turn_id") + f""",
+INTENTS = tfidf(f"SELECT seq, scored_lang AS lang, {by_lang('pattern', 'scored_lang')} AS t FROM ({lang.scored('SELECT * FROM patterns', 'pattern')})",
+                f"SELECT turn_id, scored_lang AS lang, {by_lang('query', 'scored_lang')} AS t FROM ({lang.scored('SELECT turn_id, query FROM asking', 'query')})",
+                "it", "seq", "turn_id", stemming=True) + f""",
 intents AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY turn_id ORDER BY score DESC, tag) AS rnk FROM (
   SELECT turn_id, tag, round(max(score), 6) AS score FROM it JOIN patterns USING (seq) GROUP BY 1, 2) WHERE score > {rules.TFIDF_FLOOR}) WHERE rnk <= 5)"""
 BEST = f"""boosted AS (SELECT turn_id, tag, round(score * CASE WHEN list_contains(flatten(list_filter([{ol._ENT_TAGS}], lambda v: v IS NOT NULL)), tag)
@@ -67,7 +69,7 @@ SELECT item_id, id, score, md5(CASE WHEN coalesce(hint, '') <> '' THEN text || c
 FROM topic_best JOIN questions USING (item_id)"""),
     "fact_lookup": with_(FACTS, FACT_Q, fact_best("fact_q", "item_id"), body=f"""
 SELECT item_id, fact_no, best, second, {passes(rules.FACT_FLOOR, 0)} AS found, {passes(3.0, 1.15)} AS fast_path FROM fact_best"""),
-    "offtopic_gate": with_(TFIDF, TAGGED, QUESTIONS, VEC, DENSE, FACTS, FACT_Q, fact_best("fact_q", "item_id"), body=f"""
+    "offtopic_gate": with_(TFIDF, VEC, DENSE, FACTS, FACT_Q, fact_best("fact_q", "item_id"), body=f"""
 SELECT item_id, NOT (fact OR d >= 0.55 OR l >= 0.3) AND NOT (l >= 0.05) AND d < 0.35 AND l < 0.1 AS off_topic FROM (
   SELECT item_id, coalesce(t.score / 1000, 0) AS l, coalesce(e.score, 0) AS d, coalesce({passes(20.0, 1.15)}, false) AS fact FROM questions
   LEFT JOIN (SELECT * FROM tfidf_top WHERE rnk = 1) t USING (item_id) LEFT JOIN (SELECT * FROM dense WHERE rnk = 2) e USING (item_id)

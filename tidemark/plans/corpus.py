@@ -8,7 +8,7 @@ from tidemark import rules
 from tidemark.functions import lang as lg
 from tidemark.functions import stem as st
 from tidemark.functions import text as tx
-from tidemark.operators import acts
+from tidemark.operators import acts, bayes
 from tidemark.operators import corpus as cp
 from tidemark.operators import knowledge as kb
 from tidemark.operators import lexicon as lx
@@ -206,9 +206,7 @@ def _whole_patterns(spark, d):
 
 
 def pattern_merge(spark, d):
-    base = _whole_patterns(spark, d)
-    training = src.intent_patterns(spark, d).where("seq % 2 = 0")
-    return kb.merge_patterns(training, base, _tagged_turns(spark, d)).select("tag", "origin", F.md5("pattern").alias("pattern_md5"))
+    return _merged_patterns(spark, d).select("tag", "origin", F.md5("pattern").alias("pattern_md5"))
 
 
 def pattern_dedupe(spark, d):
@@ -253,21 +251,15 @@ def topic_grid(spark, d):
         F.md5(F.array_join("phrases_en", "|")).alias("en_md5"), F.md5(F.array_join("phrases_cy", "|")).alias("cy_md5"))
 
 
+def _merged_patterns(spark, d):
+    training = src.intent_patterns(spark, d).where("seq % 2 = 0")
+    return kb.merge_patterns(training, _whole_patterns(spark, d), _tagged_turns(spark, d))
+
+
 def nb_intent(spark, d):
-    """Naive Bayes over stop-filtered terms, document language as the class."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import NaiveBayes
-    from pyspark.ml.feature import HashingTF, StringIndexer
-
-    docs = src.documents(spark, d).select("doc_id", "lang", tx.preprocess(F.col("text")).alias("terms"))
-    pipe = Pipeline(stages=[
-        StringIndexer(inputCol="lang", outputCol="label"),
-        HashingTF(inputCol="terms", outputCol="features", numFeatures=1 << 15, binary=True),
-        NaiveBayes(modelType="multinomial", smoothing=1.0)])
-    model = pipe.fit(docs)
-    labels = model.stages[0].labels
-    name = F.element_at(tx.words(labels), (F.col("prediction") + 1).cast("int"))
-    return model.transform(docs).select("doc_id", "lang", name.alias("predicted"))
+    """Tag of every user turn by Naive Bayes over the merged patterns."""
+    asked = src.turns(spark, d).where("role = 'user'").select(F.concat_ws(":", "conv_id", "turn").alias("turn_id"), "text")
+    return bayes.classify(bayes.train(_merged_patterns(spark, d)), asked, "turn_id")
 
 
 def stem_normalise(spark, d):

@@ -79,10 +79,15 @@ def tfidf_topk(spark, d):
 
 
 def _tfidf(spark, d, k):
-    terms = tx.preprocess(F.col("text"))
-    docs = src.documents(spark, d).select("doc_id", F.concat_ws("\n", "source", "text").alias("text"), F.lit(None).cast("string").alias("lang"))
-    store = st.build_sparse(docs, terms, bm25=False)
-    return st.sparse_lists(store, rt.query_terms(src.questions(spark, d), "item_id", terms), k, floor=rules.TFIDF_FLOOR)[0]
+    """Stemmed tf-idf: source and text of each passage, stoplist and stems by its language (English unless Welsh)."""
+    def english(lang):
+        return F.when(F.col(lang) == "cy", "cy").otherwise("en").alias("lang")
+
+    docs = src.tagged_documents(spark, d).select("doc_id", F.concat_ws("\n", "source", "text").alias("text"), english("lang"))
+    asked = src.questions(spark, d).select("item_id", "text", english("query_lang"))
+    terms = tx.preprocess_by(F.col("text"), F.col("lang"))
+    store = st.build_sparse(docs, terms, bm25=False, stems=True)
+    return st.sparse_lists(store, rt.query_terms(asked, "item_id", terms, stems=True), k, floor=rules.TFIDF_FLOOR)[0]
 
 
 def _dense(spark, d):
