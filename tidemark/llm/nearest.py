@@ -7,8 +7,9 @@ neighbour at the usual distance of the k-th one lies there) until the chances ad
 The usual distance comes from ``SAMPLE`` queries compared with all rows; every row is indexed. Cells are dealt to regions, and
 cells, queries and regions of any size are met block by block: rows of a region with the queries that visit it, both in slices
 of at most about ``BLOCK_ROWS`` and ``BLOCK_QUERIES``. A block computes inner products of visited rows only and returns its
-k best for each query; the tables' candidates are merged by exact inner products, summed in order of the components in double
-precision. Queries that have met fewer than k rows are compared with all rows, again in blocks.
+k best for each query, and of these only rows that are not far behind the k-th ones of the whole sample; the tables' candidates
+are merged by exact inner products, summed in order of the components in double precision. Queries left with fewer than k rows
+are compared with all rows, again in blocks and without that bar, so it costs none of their neighbours.
 
 Vectors that are null, zero, or hold null or non-finite components take no part. A vector meets vectors of its own length only.
 Repeated rows each count; a row is no candidate of its own. Ties go to the smaller id, null ids last. Rows whose ``is_query``
@@ -160,8 +161,8 @@ def _in_order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total
 
 
-def _block(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """The k best visited rows of the block for each of its queries."""
+def _block(k: int, bar: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The k best visited rows of the block for each of its queries, of rows whose product with the unit query is ``bar`` at least."""
     names = ["query", "query_id", "row", "vec_id", "score"]
     types = [pa.int64()] * 4 + [pa.float64()]
 
@@ -187,11 +188,11 @@ def _block(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
                         open_[i, at] = True
                 visited = open_[:, cell] & (asked[lo : lo + step, None] != row[None, :])
                 rough = np.where(visited, mine @ x.T, -np.inf)
+                norms = _norms(mine)
+                least = bar * norms
                 if len(x) > k:
-                    bar = np.partition(rough, len(x) - k, axis=1)[:, len(x) - k] - 1e-9 * largest * _norms(mine)
-                else:
-                    bar = np.full(len(mine), -np.inf)
-                qi, xi = np.nonzero(visited & (rough >= bar[:, None]))
+                    least = np.maximum(least, np.partition(rough, len(x) - k, axis=1)[:, len(x) - k] - 1e-9 * largest * norms)
+                qi, xi = np.nonzero(visited & (rough >= least[:, None]))
                 score = np.concatenate([np.zeros(0), *(_in_order(mine[qi[j : j + _PAIRS]], x[xi[j : j + _PAIRS]]) for j in range(0, len(qi), _PAIRS))])
                 order = np.lexsort((row[xi], ids[xi], -score, qi))
                 qi, xi, score = qi[order], xi[order], score[order]
@@ -204,7 +205,7 @@ def _block(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     return run
 
 
-def _met(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def _met(rows: DataFrame, queries: DataFrame, k: int, bar: float = -math.inf) -> DataFrame:
     """Every query row with the rows of its table and region, in blocks of slices of both; k best of each block."""
     keys = ["t", "region", "dim"]
     rows, queries = (d.withColumn("dim", F.size("v")) for d in (rows, queries))
@@ -216,7 +217,7 @@ def _met(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         return side.join(cuts, keys).select(*side.columns, mine, F.explode(F.sequence(F.lit(0).cast("long"), F.col(others) - 1)).alias(others))
 
     by = [*keys, "rs", "qs"]
-    return dealt(rows, "rs", "qs").groupBy(*by).cogroup(dealt(queries, "qs", "rs").groupBy(*by)).applyInArrow(_block(k), _FOUND)
+    return dealt(rows, "rs", "qs").groupBy(*by).cogroup(dealt(queries, "qs", "rs").groupBy(*by)).applyInArrow(_block(k, bar), _FOUND)
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
@@ -224,8 +225,9 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
     return found.dropDuplicates(["query", "row"]).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _usual_distance(rows: DataFrame, queries: DataFrame, largest: float, k: int, quantile: float) -> float:
-    """Distance of the k-th neighbour that the given share of a bounded sample of queries does not exceed; all rows are compared."""
+def _usual(rows: DataFrame, queries: DataFrame, largest: float, k: int, quantile: float) -> tuple[float, float]:
+    """From a bounded sample of queries compared with all rows: the distance of the k-th neighbour that the given share does
+    not exceed, and a product with the unit query that k neighbours of nearly every query pass."""
     picked = queries.orderBy(F.xxhash64("row"), "row").limit(SAMPLE).toArrow()
     listed = list(zip(picked.column("row").to_pylist(), [np.array(v, np.float64) for v in picked.column("v").to_pylist()], strict=True))
 
@@ -241,9 +243,13 @@ def _usual_distance(rows: DataFrame, queries: DataFrame, largest: float, k: int,
 
     scores = rows.mapInArrow(run, "row bigint, score double")
     last = scores.withColumn("rank", F.row_number().over(W.partitionBy("row").orderBy(F.desc("score")))).where(F.col("rank") <= k)
-    kth = {r["row"]: r["s"] for r in last.groupBy("row").agg(F.min("score").alias("s")).collect()}
-    away = [math.sqrt(max(0.0, 2.0 - 2.0 * kth[r] / (largest * float(_norms(v[None])[0])))) for r, v in listed if r in kth]
-    return max(LEAST_DISTANCE, float(np.quantile(away, quantile))) if away else 1.0
+    kth = {r["row"]: (r["s"], r["n"]) for r in last.groupBy("row").agg(F.min("score").alias("s"), F.count(F.lit(1)).alias("n")).collect()}
+    near = np.array([kth[r][0] / float(_norms(v[None])[0]) for r, v in listed if r in kth])
+    if not len(near):
+        return 1.0, -math.inf
+    away = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * near / largest))
+    full = len(near) == len(listed) and all(n == k for _, n in kth.values())
+    return max(LEAST_DISTANCE, float(np.quantile(away, quantile))), float(2 * near.min() - np.median(near)) if full else -math.inf
 
 
 def nearest(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", vector: str = "embedding", k: int = K, target: float = TARGET) -> DataFrame:
@@ -259,12 +265,13 @@ def nearest(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", vector
     if not n:
         return rows.select(F.col("id").alias("query_id"), F.lit(0).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score")).limit(0)
     functions = min(16, max(4, round(math.log2(n) / 2)))
-    index = Index(functions, float(largest), _usual_distance(rows, queries, float(largest), k, QUANTILE), max(1, math.ceil(n / BLOCK_ROWS)))
+    distance, bar = _usual(rows, queries, float(largest), k, QUANTILE)
+    index = Index(functions, float(largest), distance, max(1, math.ceil(n / BLOCK_ROWS)))
 
     kept = f"row bigint, id bigint, v {dict(rows.dtypes)['v']}"
     hashed = rows.select("row", "id", "v").mapInArrow(_hashed(index), f"t bigint, region bigint, bucket bigint, {kept}")
     probed = queries.select("row", "id", "v").mapInArrow(_probed(index, target), f"t bigint, region bigint, buckets array<bigint>, {kept}")
-    found = stage(_ranked(_met(hashed, stage(probed, "visits"), k), k), "neighbours")
+    found = stage(_ranked(_met(hashed, stage(probed, "visits"), k, bar), k), "neighbours")
 
     met = found.groupBy("query").agg(F.count(F.lit(1)).alias("met"))
     short = stage(queries.join(met, queries["row"] == met["query"], "left").where(F.coalesce("met", F.lit(0)) < k).select("row", "id", "v"), "short")
