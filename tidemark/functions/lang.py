@@ -8,15 +8,17 @@ from pyspark.sql import functions as F
 from tidemark import rules
 from tidemark.functions import regex as rx
 from tidemark.functions import text as tx
+from tidemark.functions.bits import bit_table, may_hold
+from tidemark.session import cut
 
 
 def looks_welsh(text: Column) -> Column:
     return F.coalesce(rx.matches(text, rules.ORTHOGRAPHY, unicode_words=True), F.lit(False))
 
 
-def quick_language(text: Column) -> Column:
+def quick_language(text: Column, tokens: Column | None = None) -> Column:
     """Decided by blank text, letters, orthography or a function word; null when undecided."""
-    tokens = tx.letter_tokens(text)
+    tokens = tx.letter_tokens(text) if tokens is None else tokens
     return (
         F.when(text.isNull() | (tx.strip(text) == ""), "en")
         .when(looks_welsh(text), "cy")
@@ -31,24 +33,27 @@ def quick_or_english(text: Column) -> Column:
 
 
 def detect_language(df: DataFrame, key: str, text: str, vocabulary: DataFrame, english_side: DataFrame,
-                    extra_stop: tuple[str, ...] = ()) -> DataFrame:
-    """(key, lang): the full ladder with a vocabulary table of any size.
+                    extra_stop: tuple[str, ...] = (), **carry: Column) -> DataFrame:
+    """(key, carried columns, lang): the full ladder with a vocabulary table of any size.
 
-    Only undecided rows are exploded and met with the vocabulary; the text itself
-    is never shuffled.
+    One pass over the texts decides the quick cases and tests every token of the others against a bit table of the
+    vocabulary. Only rows with enough possible words are exploded and met with the vocabulary itself.
     """
     stop = [*rules.ENGLISH_STOP, *extra_stop]
-    col = F.col(text)
-    base = df.select(key, col.alias("_text"), quick_language(col).alias("_quick"))
-    decided = base.where("_quick IS NOT NULL").select(key, F.col("_quick").alias("lang"))
-    open_rows = base.where("_quick IS NULL")
-    terms = tx.counted_terms(open_rows, tx.letter_tokens(F.col("_text")), key).withColumnRenamed("dl", "_n")
-    usable = vocabulary.select("term").distinct().join(english_side.select("term"), "term", "left_anti")
-    hit = terms.where(~F.col("term").isin(*stop)).join(usable, "term").groupBy(key).agg(F.sum("tf").alias("_hits"))
-    sizes = open_rows.select(key, F.size(tx.letter_tokens(F.col("_text"))).alias("_n"))
-    rated = sizes.join(hit, key, "left").select(key, "_n", F.coalesce("_hits", F.lit(0)).alias("_hits"))
-    welsh = F.when(F.col("_n") < 4, F.col("_hits") >= 2).otherwise(F.col("_hits") / F.col("_n") >= 0.5)
-    return decided.unionByName(rated.select(key, F.when(welsh, "cy").otherwise("en").alias("lang")))
+    usable = cut(vocabulary.select("term").distinct().join(english_side.select("term"), "term", "left_anti"))
+    table = bit_table(usable, "term")
+    base = df.select(key, *[c.alias(n) for n, c in carry.items()], F.col(text).alias("_text"), tx.letter_tokens(F.col(text)).alias("_tokens"))
+    quick = base.select(key, *carry, quick_language(F.col("_text"), F.col("_tokens")).alias("_quick"), F.size("_tokens").alias("_n"),
+                        F.filter("_tokens", lambda t: may_hold(table, t) & ~t.isin(*stop)).alias("_maybe"))
+
+    def welsh(hits: Column) -> Column:
+        return F.when(F.col("_n") < 4, hits >= 2).otherwise(hits / F.col("_n") >= 0.5)
+
+    open_ = F.col("_quick").isNull() & welsh(F.size("_maybe"))
+    seen = cut(quick.select(key, *carry, "_quick", "_n", F.when(open_, F.col("_maybe")).alias("_maybe")))
+    hits = seen.select(key, F.explode("_maybe").alias("term")).join(usable, "term").groupBy(key).agg(F.count(F.lit(1)).alias("_hits"))
+    met = seen.join(hits, key, "left")
+    return met.select(key, *carry, F.coalesce("_quick", F.when(welsh(F.coalesce("_hits", F.lit(0))), "cy").otherwise("en")).alias("lang"))
 
 
 def scored_language(df: DataFrame, text: str, out: str, running: Column | None = None,

@@ -152,7 +152,7 @@ SELECT id, title, title_cy, priority::BIGINT AS priority, hint, len(en) AS n_en,
 _EMB = strip("source || chr(10) || text")
 _STRIPPED = strip("x")
 _TC = f"seq, {{}} AS cy, {{}} AS en"
-MERGED = """merged AS (SELECT DISTINCT tag, pattern FROM (SELECT tag, pattern FROM patterns WHERE seq % 2 = 0 UNION ALL SELECT tag, pattern FROM whole)),
+MERGED_PATTERNS = """merged AS (SELECT DISTINCT tag, pattern FROM (SELECT tag, pattern FROM patterns WHERE seq % 2 = 0 UNION ALL SELECT tag, pattern FROM whole)),
 added AS (SELECT tag, min_by(pattern, seq) AS pattern, lower(trim(pattern)) AS k FROM tagged_turns WHERE tag IN (SELECT tag FROM whole) GROUP BY tag, k),
 merged_patterns AS (SELECT tag, 'merged' AS origin, pattern FROM merged
   UNION ALL SELECT tag, 'added', pattern FROM added a WHERE k <> '' AND NOT EXISTS (SELECT 1 FROM merged m WHERE m.tag = a.tag AND lower(trim(m.pattern)) = a.k))"""
@@ -205,9 +205,9 @@ SELECT source, title, lang, md5(text) AS text_md5 FROM (
 SELECT category, 'How to reply: ' || category AS title, CASE category {_TEMPL} END || string_agg('"' || phrase || '"', ', ' ORDER BY phrase) || '.' AS content
 FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY phrase) AS r FROM mined) WHERE r <= 20 GROUP BY category"""),
     "pattern_merge": with_(PATTERNS, WHOLE, TAGGED_TURNS, body=f"""
-, {MERGED} SELECT tag, origin, md5(pattern) AS pattern_md5 FROM merged_patterns"""),
+, {MERGED_PATTERNS} SELECT tag, origin, md5(pattern) AS pattern_md5 FROM merged_patterns"""),
     "nb_intent": with_(PATTERNS, WHOLE, TAGGED_TURNS, TURNS, body=f"""
-, {MERGED},
+, {MERGED_PATTERNS},
 nb_p AS (SELECT row_number() OVER () AS r, tag, {preprocess('pattern', rules.EN_STOP)} AS t FROM merged_patterns),
 nb_q AS (SELECT conv_id || ':' || turn AS turn_id, {preprocess('text', rules.EN_STOP)} AS t FROM turns WHERE role = 'user'),
 {stems('SELECT unnest(t) AS term FROM nb_p UNION ALL SELECT unnest(t) FROM nb_q')},

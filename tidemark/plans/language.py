@@ -30,8 +30,7 @@ def detect_language(spark, d):
     pairs = pc._pairs(spark, d)
     vocab = lx.vocabulary(pc._terms(spark, d), pairs)
     english = pairs.select(F.col("en").alias("term")).distinct()
-    lang = lg.detect_language(docs, "doc_id", "text", vocab, english)
-    return lang.join(docs.select("doc_id", lg.looks_welsh(F.col("text")).alias("looks_welsh")), "doc_id")
+    return lg.detect_language(docs, "doc_id", "text", vocab, english, looks_welsh=lg.looks_welsh(F.col("text")))
 
 
 def detect_language_scored(spark, d):

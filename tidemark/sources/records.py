@@ -44,6 +44,15 @@ def read_term_map(spark: SparkSession, path: str) -> DataFrame:
     return flat.unionByName(listed).where(~F.startswith(F.col("cy"), F.lit("__")))
 
 
+def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
+    """Distinct trimmed lower-case ``term`` of a JSON list, or of an object that holds the list as terms or words."""
+    raw = spark.read.text(path, wholetext=True)
+    wrapped = F.from_json("value", "terms array<string>, words array<string>")
+    inner = F.coalesce(F.when(F.size(wrapped["terms"]) > 0, wrapped["terms"]), wrapped["words"])
+    items = F.when(F.startswith(F.ltrim("value"), F.lit("[")), F.from_json("value", "array<string>")).otherwise(inner)
+    return raw.select(F.explode(items).alias("term")).select(F.lower(F.trim("term")).alias("term")).where("term <> ''").distinct()
+
+
 def read_vector_sidecar(spark: SparkSession, path: str) -> DataFrame:
     """(id, lang, hash, vec) of parallel arrays; empty vectors dropped, language defaults to en."""
     raw = spark.read.schema(VECTORS).json(path, multiLine=True)
