@@ -39,7 +39,7 @@ from tidemark.llm.components import components
 SMALL = 8
 FAN = 16
 #: Largest block that one task takes whole; a larger one is dealt as pairs of slices.
-SLICE, SLICE_SHINGLES = 2048, 4 << 20
+SLICE, SLICE_SHINGLES = 2048, 1 << 19
 #: Front shingles in a task's packet, and aimed at per hash range.
 PACKET = 1 << 20
 PER_RANGE = 600_000
@@ -207,7 +207,7 @@ class Level:
         keep = (self.root[p] != self.root[q]) | (self.root[p] == -1)
         keep &= (4 * self.high[p] >= 3 * self.low[q]) & (4 * self.high[q] >= 3 * self.low[p])
         at = np.flatnonzero(keep)
-        stride = max(256, (1 << 22) // self.bits.shape[1])  # bounded memory for long bitmaps
+        stride = max(256, (1 << 20) // self.bits.shape[1])  # bounded memory for long bitmaps
         for i in range(0, len(at), stride):
             a, b = p[at[i : i + stride]], q[at[i : i + stride]]
             most = np.bitwise_count(self.bits[a] & self.bits[b]).sum(axis=1, dtype=np.int64) + np.minimum(self.extra[a], self.extra[b])
@@ -269,9 +269,9 @@ def _traversed(n: np.ndarray, bits: np.ndarray, counts: np.ndarray, root: np.nda
             yield order[p[keep]], order[q[keep]]
             continue
         below = len(levels[at - 1].low)
-        for i in range(0, len(p), 4096):  # bounded memory however many node pairs are open
-            a = (p[i : i + 4096, None] * FAN + np.arange(FAN))[:, :, None]
-            b = (q[i : i + 4096, None] * FAN + np.arange(FAN))[:, None, :]
+        for i in range(0, len(p), 1024):  # bounded memory however many node pairs are open
+            a = (p[i : i + 1024, None] * FAN + np.arange(FAN))[:, :, None]
+            b = (q[i : i + 1024, None] * FAN + np.arange(FAN))[:, None, :]
             a, b = (x.ravel() for x in np.broadcast_arrays(a, b))
             inside = (a < below) & (b < below) & (a <= b)
             work.append((at - 1, a[inside], b[inside]))
