@@ -38,11 +38,13 @@ FREE_TERM = rf"(?<![\p{{L}}\p{{N}}{_TAKEN}])[\p{{L}}\p{{N}}]{{3,}}+(?!{_TAKEN})"
 #: Matches whose places are added up in one go; blocks of them are joined afterwards, so long texts stay cheap.
 BLOCK = 512
 BROADCAST_TERMS = 200_000
+#: Telling terms of one text that are searched for by name.
+FEW = 64
 
 _SPAN = "array<struct<start:int,rank:int,end:int,kind:string,value:string>>"
 
 
-def located(text: Column, pattern: str) -> Column:
+def located(text: Column, pattern: str | Column) -> Column:
     """[(start, end, value)] of all matches: the pieces between matches give the places."""
     def within(parts: Column) -> Column:
         zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
@@ -60,7 +62,8 @@ def located(text: Column, pattern: str) -> Column:
             return F.struct((acc["at"] + b["at"]).alias("at"), F.concat(acc["out"], F.array(moved)).alias("out"))
         return F.flatten(F.aggregate(blocks, zero, step)["out"])
 
-    gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+    gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0))
     parts = F.zip_with(gaps, hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
     return let(parts, lambda ps: walk(F.transform(F.sequence(F.lit(1), F.greatest(F.size(ps), F.lit(1)), F.lit(BLOCK)), lambda i: within(F.slice(ps, i, F.lit(BLOCK))))))
 
@@ -150,18 +153,27 @@ def disclosing_terms(docs: DataFrame, text_col: str = "text", threshold: float =
     given = (F.col("both") + prior * chance) / (F.col("n_term") + prior)
     telling = stage(pairs.where(F.log2(given / chance) / -F.log2(chance) >= threshold).select("term", "outside").distinct(), "telling")
 
+    # only texts that hold a telling term are searched, and only for the telling terms they hold
     wanted = sized(telling.select("term"), BROADCAST_TERMS)
     abroad = sized(telling.where("outside > 0").select("term"), BROADCAST_TERMS)
+    inside = met.select("own", "term").join(wanted, "term", "left_semi")
     found = clear.where("NOT may").select("own", F.explode(_terms(F.col("text"))).alias("term")).join(abroad, "term", "left_semi")
-    found = stage(found.select("own").distinct(), "texts-without-entities")
-    free = clear.where("NOT may").join(sized(found, BROADCAST_TERMS), "own", "left_semi").groupBy("own").agg(F.first("text").alias("text"))
+    mine = stage(inside.unionByName(found).groupBy("own").agg(F.collect_set("term").alias("mine")), "telling-terms-of-texts")
+    few = sized(mine, BROADCAST_TERMS)
+    free = clear.where("NOT may").join(few, "own").groupBy("own").agg(F.first("text").alias("text"), F.first("mine").alias("mine"))
+    rows = texts.select("own", "text").join(few, "own").unionByName(free.select("own", "text", "mine"))
+    places = rows.select("own", "mine", F.explode(located(F.col("text"), _any_of(F.col("mine")))).alias("t"))
+    places = places.where(F.array_contains("mine", F.lower("t.value"))).select("own", "t.start", "t.end", "t.value")
+    span = F.struct("start", F.lit(RANKS["term"]).alias("rank"), "end", F.lit("term").alias("kind"), "value")
+    return places.groupBy("own").agg(F.collect_set(span).cast(_SPAN).alias("terms"))
 
-    def marked(rows: DataFrame) -> DataFrame:
-        places = rows.select("own", F.explode(located(F.col("text"), FREE_TERM)).alias("t"))
-        return places.select("own", F.lower("t.value").alias("term"), "t.start", "t.end", "t.value").join(wanted, "term", "left_semi")
 
-    span = F.struct("start", F.lit(RANKS["term"]).alias("rank"), "end", F.lit("term").alias("kind"), "value")
-    return marked(texts.select("own", "text").unionByName(free)).groupBy("own").agg(F.collect_set(span).cast(_SPAN).alias("terms"))
+def _any_of(terms: Column) -> Column:
+    """Pattern of free terms that may be one of a few; any free term where they are many or no plain runs of letters and digits
+    (lower case of a single letter can be two characters)."""
+    plain = F.forall(terms, lambda t: t.rlike(r"^[\p{L}\p{N}]+$")) & (F.size(terms) <= FEW)
+    listed = F.concat(F.lit(rf"(?iu)(?<![\p{{L}}\p{{N}}{_TAKEN}])(?:"), F.array_join(terms, "|"), F.lit(rf")(?![\p{{L}}\p{{N}}{_TAKEN}])"))
+    return F.when(plain, listed).otherwise(F.lit(FREE_TERM))
 
 
 def joined_spans(spans: Column) -> Column:
