@@ -382,11 +382,18 @@ def test_queries_return_ranked_lists(spark, sf, model_path):
         rows = out.collect()
         assert len(rows) == (len(text) if out is not last else 20)
         for r in rows:
-            lists = [tuple(x["ids"]) for x in r["ranked"]]
-            assert lists[0] == tuple(r["ids"]) and len(set(lists)) == len(lists) == (pieces.N_BEST if r["n_pieces"] > 20 else len(lists))
-            assert [x["score"] for x in r["ranked"]] == sorted((x["score"] for x in r["ranked"]), reverse=True)
+            lists, scores = [tuple(r["ids"])], [r["score"]]
+            for other in r["others"]:
+                ids = list(r["ids"])
+                for e in reversed(other["edits"]):
+                    ids[e["start"] : e["end"]] = e["ids"]
+                lists.append(tuple(ids))
+                scores.append(other["score"])
+            assert len(set(lists)) == len(lists) == (pieces.N_BEST if r["n_pieces"] > 20 else len(lists))
+            assert scores == sorted(scores, reverse=True)
             assert r["round_trip"] and all(model.decode(x) == text[r["doc_id"]] for x in lists)
-            assert r["margin"] is None or r["margin"] == pytest.approx(r["ranked"][0]["score"] - r["ranked"][1]["score"])
+            assert r["margin"] is None or r["margin"] == pytest.approx(scores[0] - scores[1])
+            assert [(s, tuple(x)) for s, x in model.segmentations(text[r["doc_id"]], pieces.N_BEST)] == list(zip(scores, lists, strict=True))
 
 
 def test_ranked_lists_of_ties_and_wrong_ids(model_path, monkeypatch):

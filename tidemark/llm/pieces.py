@@ -195,10 +195,11 @@ class Pieces:
             yield self.parts(text[at:end])
             at = end
 
-    def ranked(self, text: str, n: int) -> list[tuple[float, bytes]]:
-        """(score, ids as 16-bit words) of the N best segmentations of a whole text, best first."""
+    def choices(self, text: str, n: int) -> tuple[bytes, float, list[tuple[float, list[tuple[int, int, bytes]]]]]:
+        """(ids of the best segmentation as 16-bit words, its score, the N best as (loss, edits of the best one), best first);
+        an edit is (start, end, ids instead) in bytes."""
         if not text:
-            return [(0.0, b"")]
+            return b"", 0.0, [(0.0, [])]
         flat, size, score, near = [], 0, 0.0, []
         for parts in self._strides(" " + text):
             ids, scores, losses = zip(*map(self.known.__getitem__, parts), strict=True)
@@ -219,6 +220,11 @@ class Pieces:
             end = at + len(first[1])
             mixed = choices + [(loss + more, [*chosen, (at, end, ids)]) for loss, chosen in choices for more, ids in ways]
             choices = sorted(mixed, key=itemgetter(0))[:n]
+        return whole, score, choices
+
+    def ranked(self, text: str, n: int) -> list[tuple[float, bytes]]:
+        """(score, ids as 16-bit words) of the N best segmentations of a whole text, best first."""
+        whole, score, choices = self.choices(text, n)
         out = []
         for loss, chosen in choices:
             at, bits = 0, []
@@ -236,6 +242,12 @@ class Pieces:
         spelled = self.spelled
         return b"".join([spelled[i] for i in ids])[1:].decode("utf-8", "surrogatepass")
 
+    def same(self, one: bytes, other: bytes) -> bool:
+        """Whether two stretches of ids spell the same."""
+        spelled = self.spelled
+        a, b = (b"".join([spelled[i] for i in memoryview(x).cast("H")]) for x in (one, other))
+        return a == b
+
     def spell(self, texts: list[str], lists: list[int], ends: np.ndarray, flat: pa.Array) -> list[bool]:
         """Whether all id lists of a text decode to it; ``lists`` per text, ``ends`` of the lists in ``flat``."""
         got = self._table.take(flat)
@@ -295,10 +307,12 @@ def _chunks(texts: pa.Array, most: int) -> Iterator[tuple[int, list[str]]]:
 
 def encoded(docs: DataFrame, path: str, keep: list[Column], text_col: str = "text", n: int = N_BEST) -> DataFrame:
     """keep..., ids (best segmentation), n_pieces, score, margin to the second best (null if there is none), round_trip (all
-    lists decode to the text), ranked: array of (score, ids), the N best segmentations of every text, best first."""
+    segmentations decode to the text), others: array of (score, edits), the second to N-th best segmentations of every text,
+    best first, each as edits of the best: ``ids[start:end]`` gives way to other ids. ``n_best`` writes them out."""
     rows = docs.select(*keep, body(F.col(text_col)).alias("whole text"))
     out = T.StructType(rows.drop("whole text").schema.fields + T._parse_datatype_string(
-        "ids array<int>, n_pieces long, score double, margin double, round_trip boolean, ranked array<struct<score:double,ids:array<int>>>").fields)
+        "ids array<int>, n_pieces long, score double, margin double, round_trip boolean, "
+        "others array<struct<score:double,edits:array<struct<start:int,end:int,ids:array<int>>>>>").fields)
 
     def words(lists: list[bytes]) -> tuple[pa.Array, np.ndarray]:
         ends = np.cumsum([len(x) // 2 for x in lists], dtype=np.int64)
@@ -311,16 +325,23 @@ def encoded(docs: DataFrame, path: str, keep: list[Column], text_col: str = "tex
         model = vocabulary(path)
         for batch in batches:
             for start, texts in _chunks(batch.column(batch.num_columns - 1), STRIDE):
-                ranked = [model.ranked(t, n) for t in texts]
-                counts = list(map(len, ranked))
-                every, ends = words([ids for r in ranked for _, ids in r])
-                best, best_ends = words([r[0][1] for r in ranked])
-                scores = pa.array([s for r in ranked for s, _ in r], pa.float64())
-                lists = pa.StructArray.from_arrays([scores, listed(every, ends)], ["score", "ids"])
+                found = [model.choices(t, n) for t in texts]
+                best, ends = words([whole for whole, _, _ in found])
+                losses = [[loss for loss, _ in more] for _, _, (_, *more) in found]
+                edits = [sorted(chosen) for _, _, (_, *more) in found for _, chosen in more]
+                flat = [e for chosen in edits for e in chosen]
+                instead, instead_ends = words([ids for _, _, ids in flat])
+                places = np.array([(a // 2, b // 2) for a, b, _ in flat], np.int32).reshape(-1, 2)
+                edit = pa.StructArray.from_arrays([pa.array(places[:, 0]), pa.array(places[:, 1]), listed(instead, instead_ends)], ["start", "end", "ids"])
+                scores = pa.array([score - loss for (_, score, _), more in zip(found, losses, strict=True) for loss in more], pa.float64())
+                others = pa.StructArray.from_arrays([scores, listed(edit, np.cumsum(list(map(len, edits)), dtype=np.int64))], ["score", "edits"])
+                whole_back = model.spell(texts, [1] * len(texts), ends, best)
+                back = [ok and all(model.same(whole[a:b], ids) for _, chosen in more for a, b, ids in chosen)
+                        for ok, (whole, _, more) in zip(whole_back, found, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [*(c.slice(start, len(texts)) for c in batch.columns[:-1]), listed(best, best_ends), pa.array(np.diff(best_ends, prepend=0)),
-                     pa.array([r[0][0] for r in ranked], pa.float64()), pa.array([r[0][0] - r[1][0] if len(r) > 1 else None for r in ranked], pa.float64()),
-                     pa.array(model.spell(texts, counts, ends, every)), listed(lists, np.cumsum(counts))], [f.name for f in out])
+                    [*(c.slice(start, len(texts)) for c in batch.columns[:-1]), listed(best, ends), pa.array(np.diff(ends, prepend=0)),
+                     pa.array([score for _, score, _ in found], pa.float64()), pa.array([more[0] if more else None for more in losses], pa.float64()),
+                     pa.array(back), listed(others, np.cumsum(list(map(len, losses)), dtype=np.int64))], [f.name for f in out])
 
     return rows.mapInArrow(run, out)
 
@@ -328,7 +349,16 @@ def encoded(docs: DataFrame, path: str, keep: list[Column], text_col: str = "tex
 def n_best(docs: DataFrame, path: str, keep: list[Column], n: int = N_BEST, text_col: str = "text") -> DataFrame:
     """keep..., ranked: array of (score, ids), the N best segmentations of every text, best first."""
     out = encoded(docs, path, keep, text_col, n)
-    return out.select(*out.columns[:len(keep)], "ranked")
+
+    def whole(edits: Column) -> Column:
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("ids"))
+        done = F.aggregate(edits, zero, lambda acc, e: F.struct(
+            e["end"].alias("at"), F.concat(acc["ids"], F.slice("ids", acc["at"] + 1, e["start"] - acc["at"]), e["ids"]).alias("ids")))
+        return F.concat(done["ids"], F.slice("ids", done["at"] + 1, F.size("ids") - done["at"]))
+
+    first = F.array(F.struct("score", "ids"))
+    ranked = F.concat(first, F.transform("others", lambda o: F.struct(o["score"].alias("score"), whole(o["edits"]).alias("ids"))))
+    return out.select(*out.columns[:len(keep)], ranked.alias("ranked"))
 
 
 def decoded(rows: DataFrame, path: str, keep: list[Column], ids_col: str = "ids") -> DataFrame:
