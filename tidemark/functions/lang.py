@@ -43,13 +43,14 @@ def detect_language(df: DataFrame, key: str, text: str, vocabulary: DataFrame, e
     usable = cut(vocabulary.select("term").distinct().join(english_side.select("term"), "term", "left_anti"))
     table = bit_table(usable, "term")
     base = df.select(key, *[c.alias(n) for n, c in carry.items()], F.col(text).alias("_text"), tx.letter_tokens(F.col(text)).alias("_tokens"))
-    quick = base.select(key, *carry, quick_language(F.col("_text"), F.col("_tokens")).alias("_quick"), F.size("_tokens").alias("_n"),
-                        F.filter("_tokens", lambda t: may_hold(table, t) & ~t.isin(*stop)).alias("_maybe"))
+    quick = base.select(key, *carry, "_tokens", F.size("_tokens").alias("_n"), quick_language(F.col("_text"), F.col("_tokens")).alias("_quick"))
+    maybe = F.filter("_tokens", lambda t: may_hold(table, t) & ~t.isin(*stop))
+    quick = quick.select(key, *carry, "_quick", "_n", F.when(F.col("_quick").isNull(), maybe).alias("_maybe"))
 
     def welsh(hits: Column) -> Column:
         return F.when(F.col("_n") < 4, hits >= 2).otherwise(hits / F.col("_n") >= 0.5)
 
-    open_ = F.col("_quick").isNull() & welsh(F.size("_maybe"))
+    open_ = F.col("_maybe").isNotNull() & welsh(F.size("_maybe"))
     seen = cut(quick.select(key, *carry, "_quick", "_n", F.when(open_, F.col("_maybe")).alias("_maybe")))
     hits = seen.select(key, F.explode("_maybe").alias("term")).join(usable, "term").groupBy(key).agg(F.count(F.lit(1)).alias("_hits"))
     met = seen.join(hits, key, "left")
