@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from contextlib import suppress
 from html import unescape
 from urllib.parse import urljoin
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import rules
 from tidemark.functions import regex as rx
 from tidemark.functions import text as tx
+from tidemark.functions.slices import slices
 from tidemark.session import cut
 
 PAGE_FIELDS = "page_id bigint, url string, title string, lang string, text string, links array<string>"
@@ -46,17 +48,22 @@ def _read_page(url: str, html: str) -> tuple[str, str, str, list[str]]:
             " ".join(x for x in pieces if x), links)
 
 
-def extract_pages(pages: DataFrame) -> DataFrame:
-    """(page_id, url, title, lang, text, links) read batch by batch; Welsh paths override the language."""
-    def parse(batches):
-        for batch in batches:
+_PAGES = pa.schema([("page_id", pa.int64()), *((c, pa.string()) for c in ("url", "title", "lang", "text")), ("links", pa.list_(pa.string()))])
+
+
+def _read_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices(batch):
             out = []
-            for page_id, url, html in zip(batch["page_id"], batch["url"], batch["html"]):
+            for page_id, url, html in zip(*(c.to_pylist() for c in part.columns)):
                 title, lang, text, links = _read_page(url, html or "")
                 out.append((page_id, url, title or url, lang, text, links))
-            yield pd.DataFrame(out, columns=["page_id", "url", "title", "lang", "text", "links"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _PAGES)], schema=_PAGES)
 
-    parsed = pages.select("page_id", "url", "html").mapInPandas(parse, PAGE_FIELDS)
+
+def extract_pages(pages: DataFrame) -> DataFrame:
+    """(page_id, url, title, lang, text, links) read a few pages at a time; Welsh paths override the language."""
+    parsed = pages.select(F.col("page_id").cast("bigint"), "url", "html").mapInArrow(_read_pages, PAGE_FIELDS)
     return parsed.withColumn("lang", F.when(path_has(F.col("url"), ["/cy/", "/cymraeg/"]), "cy").otherwise(F.col("lang")))
 
 
