@@ -6,7 +6,7 @@ import pyarrow as pa
 
 
 from tidemark.functions.slices import ROWS, mapped, slices
-from tidemark.operators import web
+from tidemark.operators import safety, web
 
 
 def _peak_mb(run):
@@ -32,3 +32,12 @@ def test_pages_are_held_a_few_at_a_time(spark):
     out = web.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()
     assert [(r.page_id, r.title, r.links) for r in out[:-1]] == [(i, f"t{i}", [f"http://a.org/x{i}"]) for i in range(500)]
     assert (out[-1].title, out[-1].text, out[-1].links) == ("http://a.org/z", "", [])
+
+
+def test_sentences_are_held_a_few_at_a_time(spark):
+    texts = [[[f"w{i}x{j}y{k}" for k in range(20)] for j in range(20)] for i in range(400)]
+    texts[7].append(texts[7][3])
+    batch = pa.array([*texts, None])
+    del texts
+    assert _peak_mb(lambda: safety._near_sentences.func(batch)) < 5
+    assert safety._near_sentences.func(batch).to_pylist() == [i == 7 for i in range(401)]
