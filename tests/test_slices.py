@@ -4,7 +4,7 @@ import tracemalloc
 
 import pyarrow as pa
 
-
+from tidemark.functions import chunk
 from tidemark.functions.slices import ROWS, mapped, slices
 from tidemark.operators import safety, web
 
@@ -41,3 +41,10 @@ def test_sentences_are_held_a_few_at_a_time(spark):
     del texts
     assert _peak_mb(lambda: safety._near_sentences.func(batch)) < 5
     assert safety._near_sentences.func(batch).to_pylist() == [i == 7 for i in range(401)]
+
+
+def test_chunks_are_held_a_few_at_a_time():
+    texts = [f"{i}. " + "some words here. " * 600 for i in range(500)]
+    batch = pa.array([*texts, "", None])
+    assert _peak_mb(lambda: chunk._chunks.func(batch)) < 5
+    assert chunk._chunks.func(batch).to_pylist() == [*map(chunk.split_text, [t.strip() for t in texts]), [], []]
