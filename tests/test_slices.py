@@ -4,7 +4,7 @@ import tracemalloc
 
 import pyarrow as pa
 
-from tidemark.functions import chunk
+from tidemark.functions import chunk, stem
 from tidemark.functions.slices import ROWS, mapped, slices
 from tidemark.operators import safety, web
 
@@ -48,3 +48,10 @@ def test_chunks_are_held_a_few_at_a_time():
     batch = pa.array([*texts, "", None])
     assert _peak_mb(lambda: chunk._chunks.func(batch)) < 5
     assert chunk._chunks.func(batch).to_pylist() == [*map(chunk.split_text, [t.strip() for t in texts]), [], []]
+
+
+def test_stems_of_lists_make_no_lists_of_objects():
+    words = [f"applying{i % 50} relational flies".split() * 100 for i in range(1500)]
+    batch = pa.array([*words, None, [], ["running", None]])
+    assert _peak_mb(lambda: [len(x) for x in stem._stems.func(iter([batch]))]) < 5
+    assert pa.concat_arrays(stem._stems.func(iter([batch]))).to_pylist() == [[stem.stem(w) for w in ws] for ws in words] + [None, [], ["run", None]]
