@@ -103,3 +103,21 @@ def test_dense_lists_in_one_pass(spark, monkeypatch, clustered):
     if clustered:
         every = read.select("lang", "block").distinct().count() * read.select("item_id", "list").distinct().count()
         assert read.count() < 0.6 * every
+
+
+def test_a_text_is_tokenised_once_for_a_store(spark, monkeypatch):
+    """A filter on the tokens is not pushed below the step that makes them."""
+    plans = []
+    monkeypatch.setattr(st, "cut", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or df)
+    docs = spark.createDataFrame([(1, "one two", "en"), (2, "", "en"), (3, None, "cy")], "doc_id long, text string, lang string")
+    built = st.build_sparse(docs, F.split(F.regexp_replace("text", "once", ""), " "), bm25=False)
+    assert plans[0].count("once") == 1 and built.n == 3
+    assert sorted(built.weights.toPandas()["term"]) == ["", "one", "two"]
+
+
+def test_packed_lists_hold_every_posting():
+    import pyarrow as pa
+
+    group = pa.table({"lang": ["en", "en"], "block": [0, 0], "doc": [7, 9], "tokens": [["b", "a", "b"], ["b"]]})
+    row = st._pack(group).to_pylist()[0]
+    assert row == {"lang": "en", "block": 0, "docs": [7, 9], "lengths": [3, 1], "terms": ["a", "b"], "starts": [0, 1, 3], "places": [0, 0, 1], "tfs": [1, 2, 1]}
