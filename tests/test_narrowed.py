@@ -90,3 +90,16 @@ def test_nearest_centres_a_few_vectors_at_a_time(spark, monkeypatch):
     vec = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, lang string").coalesce(1)
     got = st.dense_lists(st.build_dense(vec), spark.createDataFrame([(1, [1.0, 0.0, 0.0])], "item_id bigint, query array<double>"), 3)[0]
     assert [(r.vec_id, r.score) for r in got.orderBy("rnk").collect()] == [(0, 1.0), (3, 1.0), (6, 1.0)]
+
+
+def _candidates(spark):
+    rows = [(1, 10, 0.5, 1, "apple pear", "apple apple plum"), (1, 11, 0.4, 2, "apple pear", "pear cherry"), (2, 10, 0.5, 1, "plum", "apple apple plum")]
+    return spark.createDataFrame(rows, "item_id bigint, doc_id bigint, score double, rnk int, query_text string, text string")
+
+
+def test_rerank_names_the_tokens_of_a_text_once(spark):
+    given = _candidates(spark)
+    made = given.withColumn("tokens", rt.rerank_tokens(F.col("text"))).drop("text")
+    plain = rt.rerank(given, 2)
+    assert sorted(map(str, plain.collect())) == sorted(map(str, rt.rerank(made, 2, tokens=F.col("tokens")).collect()))
+    assert plain._jdf.queryExecution().optimizedPlan().toString().count("split(lower(text") == 1
