@@ -11,6 +11,7 @@ from tidemark.functions import stem as sm
 from tidemark.functions import text as tx
 from tidemark.operators import retrieval as rt
 from tidemark.operators import store as st
+from tidemark.plans import search as ps
 
 
 @pytest.fixture
@@ -103,3 +104,11 @@ def test_rerank_names_the_tokens_of_a_text_once(spark):
     plain = rt.rerank(given, 2)
     assert sorted(map(str, plain.collect())) == sorted(map(str, rt.rerank(made, 2, tokens=F.col("tokens")).collect()))
     assert plain._jdf.queryExecution().optimizedPlan().toString().count("split(lower(text") == 1
+
+
+def test_keys_are_made_of_hits_only(spark, tmp_path):
+    docs = [(i, f"text {i % 4}", ["en", "fr", "de"][i % 3], "s", 6) for i in range(12)]
+    spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    hits = [spark.createDataFrame([(i,) for i in ids], "x bigint") for ids in ((1, 5, 99), (5, 2))]
+    keys = {r.doc_id: r.key for r in ps._keys(spark, str(tmp_path), *hits).collect()}
+    assert set(keys) == {1, 2, 5} and keys[1] == keys[5] != keys[2]
