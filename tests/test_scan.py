@@ -77,3 +77,47 @@ def test_bounded_fuzzy_search_finds_the_same_best(spark):
         for k in known.collect():
             plain[a.turn_id, k.tag] = max(plain[a.turn_id, k.tag], token_set_ratio(frozenset(a.text.split()), frozenset(k.pattern.split())))
     assert {(x.turn_id, x.tag): x.score for x in un.fuzzy_intents(asked, known).collect()} == {k: v for k, v in plain.items() if v > 0}
+
+
+def test_documents_are_not_copied_for_blocks_of_queries(spark):
+    r = random.Random(7)
+    docs = spark.createDataFrame([(i, " ".join(f"w{r.randint(0, 4000)}" for _ in range(300))) for i in range(600)], "doc_id long, text string")
+
+    def shuffled(n):
+        asked = spark.createDataFrame([(i, f"w{i % 4000} w{i % 7}") for i in range(n)], "item_id long, text string")
+        store = spark.sparkContext._jsc.sc().statusStore()
+
+        def written():
+            return sum(e.totalShuffleWrite() for e in _all(store.executorList(False)))
+
+        before = written()
+        rt.bm25_best(docs, asked, 2).count()
+        return written() - before
+
+    def _all(seq):
+        return [seq.apply(i) for i in range(seq.size())]
+
+    few, many = shuffled(64), shuffled(6400)
+    assert many < 4 * few, (few, many)
+
+
+def test_best_matches_over_chunks_parts_and_long_ties(spark, monkeypatch):
+    for name, value in {"QUERY_BLOCK": 70, "DOC_BLOCK": 40, "TILE": 100, "QUERY_TERMS": 300, "BLOCK_TOKENS": 200, "PARTS": 3}.items():
+        monkeypatch.setattr(scan, name, value)
+    docs = spark.createDataFrame(_texts(300, 8, ["x"]) + [(400 + i, "a b a b", "x") for i in range(50)], "doc_id long, text string, tag string")
+    asked = spark.createDataFrame(_texts(200, 9, ["q"]), "item_id long, text string, tag string")
+    tokens = tx.latin_tokens(F.col("text"))
+    for k in (1, 4):
+        want = rt.ranked(rt.tfidf_scores(docs, asked, tokens, tokens, "doc_id", "item_id"), k)
+        got = rt.ranked(rt.tfidf_best(docs, asked, tokens, tokens, "doc_id", "item_id", k), k)
+        assert {tuple(x) for x in got.select(want.columns).collect()} == {tuple(x) for x in want.collect()}
+
+
+def test_empty_sides(spark):
+    none = spark.createDataFrame([], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "a"), (2, "zz"), (3, None)], "item_id long, text string")
+    tokens = tx.latin_tokens(F.col("text"))
+    assert rt.bm25_best(none, asked, 2).collect() == []
+    assert rt.tfidf_best(docs, asked.limit(0), tokens, tokens, "doc_id", "item_id", 2).collect() == []
+    assert [(r.item_id, r.doc_id) for r in rt.tfidf_best(docs, asked, tokens, tokens, "doc_id", "item_id", 2).collect()] == [(1, 1)]
